@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hirecube import vocab
 from hirecube.operators.cube import build_cube, cube_rows
@@ -18,13 +19,20 @@ MAX_SALARY = 100_000.0
 PREFIXES = list(vocab.STATES)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A benchmark table. Its schema is read from the files once per process, not once per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements with the columns of the clean data set."""
-    line, orders, customer = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         customer, F.col("o_custkey") == F.col("c_custkey")
     )
