@@ -93,14 +93,15 @@ def _normal_equations():
             out.append((beta.tolist(), rss, int(rank), float(np.abs(roots).max(initial=0.0))))
         return pd.DataFrame(out, columns=["beta", "rss", "rank", "radius"])
 
-    return solve
+    # keeps the optimizer from running it once for a filter and again for the output
+    return solve.asNondeterministic()
 
 
-def _gram(columns: list[Column]) -> Column:
-    """Sums of products of all pairs, as one flat array. Each pair is summed once."""
-    k = len(columns)
-    sums = {(i, j): F.sum(columns[i] * columns[j]) for i in range(k) for j in range(i, k)}
-    return F.array(*[sums[min(i, j), max(i, j)] for i in range(k) for j in range(k)])
+def _gram(names: list[str]) -> Column:
+    """Sums of products of all pairs, as one flat array (equal sums are computed once)."""
+    k = range(len(names))
+    cells = ", ".join(f"sum({names[min(i, j)]} * {names[max(i, j)]})" for i in k for j in k)
+    return F.expr(f"array({cells})")
 
 
 def _lag_rows(calendar: DataFrame, max_lag: int) -> DataFrame:
@@ -112,8 +113,14 @@ def _lag_rows(calendar: DataFrame, max_lag: int) -> DataFrame:
     )
 
 
-def _differenced(lag: int, d: int) -> Column:
-    return F.col(f"y{lag}") if d == 0 else F.col(f"y{lag}") - F.col(f"y{lag + 1}")
+def _differenced(lag: int, d: int) -> str:
+    return f"y{lag}" if d == 0 else f"(y{lag} - y{lag + 1})"
+
+
+def _structs(alternatives: list[dict[str, str]]) -> Column:
+    """Rows out of column texts: one struct per alternative."""
+    texts = ["named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")" for fields in alternatives]
+    return F.expr(f"inline(array({', '.join(texts)}))")
 
 
 def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> DataFrame:
@@ -133,27 +140,25 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
 
     if needs_shocks:
         # long autoregression: lags beyond h are switched off by a zero
-        def long_terms(d):
-            lags = [F.when(F.lit(k) <= F.col("h"), _differenced(k, d)).otherwise(0.0) for k in range(1, LONG_LAGS + 1)]
-            return [F.lit(1.0), *lags, _differenced(0, d)]
-
-        stacked = rows.select(*SERIES_KEYS, "h", F.inline(F.array(*[
-            F.struct(F.lit(d).alias("d"), *[c.alias(f"x{i}") for i, c in enumerate(long_terms(d))]) for d in ds
-        ])))
         xs = [f"x{i}" for i in range(LONG_LAGS + 2)]
-        sums = stacked.na.drop(subset=xs).groupBy(*SERIES_KEYS, "h", "d").agg(_gram([F.col(x) for x in xs]).alias("gram"))
+
+        def long_terms(d: int) -> list[str]:
+            lags = [f"if({k} <= h, {_differenced(k, d)}, 0D)" for k in range(1, LONG_LAGS + 1)]
+            return ["1D", *lags, _differenced(0, d)]
+
+        stacked = rows.select(*SERIES_KEYS, "h", _structs([
+            {"d": str(d), **dict(zip(xs, long_terms(d)))} for d in ds
+        ]))
+        sums = stacked.na.drop(subset=xs).groupBy(*SERIES_KEYS, "h", "d").agg(_gram(xs).alias("gram"))
         use = F.sequence(F.lit(0), F.col("h"))
-        lagless = F.array(F.lit(0))
-        long_fit = sums.withColumn("beta", solve("gram", use, lagless)["beta"])
-        wide = long_fit.groupBy(*SERIES_KEYS).agg(*[
-            F.max(F.when(F.col("d") == d, F.col("beta"))).alias(f"long{d}") for d in ds
-        ])
-        rows = rows.join(wide, SERIES_KEYS)
-        for d in ds:
-            terms = long_terms(d)
-            fitted = sum((F.get(f"long{d}", F.lit(i)) * term for i, term in enumerate(terms[1:-1], start=1)),
-                         F.get(f"long{d}", F.lit(0)))
-            rows = rows.withColumn(f"e{d}_0", terms[-1] - fitted)
+        long_fit = sums.withColumn("beta", solve("gram", use, F.array(F.lit(0)))["beta"])
+        wide = long_fit.groupBy(*SERIES_KEYS).agg(*[F.expr(f"max(if(d = {d}, beta, null)) AS long{d}") for d in ds])
+        residuals = {
+            f"e{d}_0": f"{_differenced(0, d)} - ("
+            + " + ".join(f"get(long{d}, {i}) * {term}" for i, term in enumerate(long_terms(d)[:-1])) + ")"
+            for d in ds
+        }
+        rows = rows.join(wide, SERIES_KEYS).withColumns({name: F.expr(text) for name, text in residuals.items()})
         rows = rows.withColumns({
             f"e{d}_{k}": F.lag(f"e{d}_0", k).over(series_window) for d in ds for k in (1, 2, SEASON)
         })
@@ -170,48 +175,45 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
         needed |= {f"e{d}_{k}" for d in ds for k in (1, 2)}
         seasonal_needed |= {f"e{d}_{SEASON}" for d in ds}
 
-    def present(names) -> Column:
-        out = F.lit(True)
-        for name in sorted(names):
-            out = out & F.col(name).isNotNull()
-        return out
+    def present(names) -> str:
+        return "(" + " AND ".join(f"{name} IS NOT NULL" for name in sorted(names)) + ")" if names else "true"
 
-    usable = (F.col("i") >= first_row) & present(needed) & (present(seasonal_needed) | ~seasonal_ok)
+    usable = (
+        (F.col("i") >= first_row) & F.expr(present(needed)) & (F.expr(present(seasonal_needed)) | ~seasonal_ok)
+    )
 
-    def struct_of(d: int) -> Column:
+    def regressors(d: int) -> dict[str, str]:
+        season = f"n_obs >= {SEASONAL_MIN_MONTHS}"
         values = {
-            "const": F.lit(1.0),
+            "const": "1D",
             "w1": _differenced(1, d), "w2": _differenced(2, d),
-            "w12": F.when(seasonal_ok, _differenced(SEASON, d)),
-            "e1": F.col(f"e{d}_1"), "e2": F.col(f"e{d}_2"),
-            "e12": F.when(seasonal_ok, F.col(f"e{d}_{SEASON}")),
+            "w12": f"if({season}, {_differenced(SEASON, d)}, 0D)",
+            "e1": f"e{d}_1", "e2": f"e{d}_2", "e12": f"if({season}, e{d}_{SEASON}, 0D)",
             "w0": _differenced(0, d),
         }
-        return F.struct(
-            F.lit(d).alias("d"),
-            *[F.coalesce(values[n], F.lit(0.0)).alias(n) for n in TERMS],
-            _differenced(0, d).alias("w"), F.col(f"e{d}_0").alias("e"),
-        )
+        # rows outside the common set weigh nothing
+        masked = {n: f"if(usable, {values[n]}, 0D)" for n in TERMS}
+        return {"d": str(d), **masked, "w": _differenced(0, d), "e": f"e{d}_0"}
 
     carried = ["n_obs", "t1", "centro", "escala"]
-    stacked = rows.select(
-        *SERIES_KEYS, *carried, "t", "y0", usable.alias("usable"), F.inline(F.array(*[struct_of(d) for d in ds]))
+    stacked = rows.withColumn("usable", usable).select(
+        *SERIES_KEYS, *carried, "t", "y0", _structs([regressors(d) for d in ds])
     )
-    weight = F.when(F.col("usable"), 1.0).otherwise(0.0)
     recent = F.when(F.col("t") > F.col("t1") - SEASON, F.struct((-F.col("t")).alias("k"), "w", "e"))
-    sums = stacked.groupBy(*SERIES_KEYS, *carried, "d").agg(
-        _gram([F.col(n) * weight for n in TERMS]).alias("gram"),
+    # a lag that only some orders use may be missing on a row that others use: it counts as average
+    sums = stacked.na.fill(0.0, TERMS).groupBy(*SERIES_KEYS, *carried, "d").agg(
+        _gram(TERMS).alias("gram"),
         # the last season, newest first: all that a forecast starts from
         F.sort_array(F.collect_list(recent)).alias("recent"),
         F.max(F.when(F.col("t") == F.col("t1"), F.col("y0"))).alias("level"),
     )
-    candidates = F.array(*[
-        F.struct(
-            F.lit(o.p).alias("p"), F.lit(o.d).alias("_d"), F.lit(o.q).alias("q"), F.lit(o.seasonal).alias("sazonal"),
-            F.array(*[F.lit(t) for t in o.terms]).alias("use"),
-        ) for o in grid
+    candidates = _structs([
+        {
+            "p": str(o.p), "_d": str(o.d), "q": str(o.q), "sazonal": str(o.seasonal).lower(),
+            "use": f"array({', '.join(map(str, o.terms))})",
+        } for o in grid
     ])
-    tried = sums.select(*sums.columns, F.inline(candidates)).where(
+    tried = sums.select(*sums.columns, candidates).where(
         (F.col("d") == F.col("_d")) & (~F.col("sazonal") | (F.col("n_obs") >= SEASONAL_MIN_MONTHS))
     ).drop("_d")
     n, k = F.get("gram", F.lit(0)), F.size("use")
@@ -219,11 +221,11 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
     own_lags = F.array(*[F.lit(v) for v in (0, 1, 2, SEASON)])
     solved = tried.withColumn("s", solve("gram", "use", own_lags))
     solved = solved.where((F.col("s.rank") == k) & (F.col("s.radius") < 1.0) & (F.col("s.rss") > 0))
-    zero = F.lit(0.0)
 
     def lag_array(first: int, second: int, seasonal: int) -> Column:
         picks = {1: first, 2: second, SEASON: seasonal}
-        return F.array(*[F.get("s.beta", F.lit(picks[j])) if j in picks else zero for j in range(1, SEASON + 1)])
+        cells = [f"get(s.beta, {picks[j]})" if j in picks else "0D" for j in range(1, SEASON + 1)]
+        return F.expr(f"array({', '.join(cells)})")
 
     rss = F.col("s.rss")
     return solved.select(
@@ -231,12 +233,12 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
         n.cast("int").alias("n_linhas"),
         (rss / (n - k)).alias("sigma2"),
         (n * F.log(rss / n) + 2 * (k + 1)).alias("aic"),
-        F.get("s.beta", zero.cast("int")).alias("c"),
+        F.get("s.beta", F.lit(0)).alias("c"),
         lag_array(1, 2, 3).alias("phi"),
         lag_array(4, 5, 6).alias("theta"),
         # shocks and differences that a gap hides count as average
-        F.transform(F.sequence(F.lit(0), F.lit(SEASON - 1)), lambda j: F.coalesce(F.get("recent", j)["w"], zero)).alias("w"),
-        F.transform(F.sequence(F.lit(0), F.lit(SEASON - 1)), lambda j: F.coalesce(F.get("recent", j)["e"], zero)).alias("e"),
+        F.expr(f"transform(sequence(0, {SEASON - 1}), j -> coalesce(get(recent, j).w, 0D))").alias("w"),
+        F.expr(f"transform(sequence(0, {SEASON - 1}), j -> coalesce(get(recent, j).e, 0D))").alias("e"),
         "level",
     )
 

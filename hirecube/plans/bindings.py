@@ -36,35 +36,23 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         customer, F.col("o_custkey") == F.col("c_custkey")
     )
-    gender = F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "R", "3").otherwise("9")
-    race = (
-        F.when(F.col("c_mktsegment") == "MACHINERY", "1")
-        .when(F.col("c_mktsegment") == "BUILDING", "2")
-        .when(F.col("c_mktsegment") == "AUTOMOBILE", "3")
-        .when(F.col("c_mktsegment") == "FURNITURE", "4")
-        .otherwise("5")
-    )
-    disability = F.when(F.col("o_orderstatus") == "F", "0").when(F.col("o_orderstatus") == "O", "1").otherwise("9")
-    kind = (
-        F.when(F.col("l_linestatus") == "F", "10")
-        .when(F.col("l_linenumber") % 2 == 0, "Admissão")
-        .otherwise("31")
-    )
-    prefix = F.get(F.array(*[F.lit(p) for p in PREFIXES]), F.col("c_nationkey"))
-    return rows.select(
-        F.date_format("l_shipdate", "yyyyMM").alias("competencia_mov"),
-        F.concat(prefix, F.lpad((F.col("c_custkey") % 100).cast("string"), 4, "0")).alias("municipio"),
-        F.concat(F.lpad((F.col("l_partkey") % 90).cast("string"), 2, "0"), F.lit("00")).alias("cnae20subclasse"),
-        F.lpad((F.col("l_suppkey") % 10000).cast("string"), 6, "0").alias("cbo2002ocupacao"),
-        F.substring("o_orderpriority", 1, 1).alias("grau_instrucao"),
-        (F.col("l_quantity").cast("int") + 11).alias("idade"),
-        race.alias("raca_cor"),
-        gender.alias("genero"),
-        F.col("l_extendedprice").alias("salario"),
-        kind.alias("tipo_movimentacao"),
-        F.when(F.col("l_linenumber") == 7, "1").otherwise("-1").alias(vocab.BALANCE),
-        disability.alias(vocab.DISABILITY),
-        F.date_format("l_shipdate", "yyyy-MM").alias("data"),
+    prefixes = ", ".join(f"'{p}'" for p in PREFIXES)
+    return rows.selectExpr(
+        "date_format(l_shipdate, 'yyyyMM') AS competencia_mov",
+        f"get(array({prefixes}), c_nationkey) || lpad(c_custkey % 100, 4, '0') AS municipio",
+        "lpad(l_partkey % 90, 2, '0') || '00' AS cnae20subclasse",
+        "lpad(l_suppkey % 10000, 6, '0') AS cbo2002ocupacao",
+        "substring(o_orderpriority, 1, 1) AS grau_instrucao",
+        "int(l_quantity) + 11 AS idade",
+        """CASE c_mktsegment WHEN 'MACHINERY' THEN '1' WHEN 'BUILDING' THEN '2' WHEN 'AUTOMOBILE' THEN '3'
+           WHEN 'FURNITURE' THEN '4' ELSE '5' END AS raca_cor""",
+        "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'R' THEN '3' ELSE '9' END AS genero",
+        "l_extendedprice AS salario",
+        """CASE WHEN l_linestatus = 'F' THEN '10' WHEN l_linenumber % 2 = 0 THEN 'Admissão' ELSE '31' END
+           AS tipo_movimentacao""",
+        f"if(l_linenumber = 7, '1', '-1') AS `{vocab.BALANCE}`",
+        f"CASE o_orderstatus WHEN 'F' THEN '0' WHEN 'O' THEN '1' ELSE '9' END AS `{vocab.DISABILITY}`",
+        "date_format(l_shipdate, 'yyyy-MM') AS data",
     )
 
 

@@ -20,6 +20,7 @@ CATALOG: dict[str, Entry] = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Decorator that puts a query into the catalog."""
     def keep(fn: Query) -> Query:
         if name in CATALOG:
             raise ValueError(f"query {name} is registered twice")
