@@ -50,8 +50,8 @@ def weighted(num: str, den: str, snap: int | None = None) -> Column:
 
 
 def report_round(col: Column, digits: int) -> Column:
-    """Half-even rounding, as reports are rounded."""
-    return F.bround(col, digits)
+    """Scale, round to the nearest whole number with ties to even, scale back: the usual array rounding."""
+    return F.rint(col * 10.0**digits) / 10.0**digits
 
 
 def finite_or_null(col: Column) -> Column:

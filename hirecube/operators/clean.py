@@ -11,6 +11,7 @@ from hirecube.functions.numbers import parse_decimal_comma, to_integer_or_null
 from hirecube.functions.text import clean_code, disability_code
 from hirecube.operators.cube import build_cube
 from hirecube.operators.filters import is_admission, only_admissions, quality_bounds, require
+from hirecube.operators.once import select_once
 
 OUTPUT_NAMES = {**vocab.REQUIRED_COLUMNS, **vocab.OPTIONAL_COLUMNS}
 
@@ -21,7 +22,8 @@ def rename_to_output(df: DataFrame) -> DataFrame:
 
 def _parsed(raw: DataFrame) -> DataFrame:
     """Numbers parsed, codes trimmed; nothing is dropped yet."""
-    return rename_to_output(raw).withColumns({
+    named = rename_to_output(raw)
+    parsed = {
         "salario": parse_decimal_comma(F.col("salario")),
         "idade": to_integer_or_null(F.col("idade")),
         "competencia_mov": norm_competence(F.col("competencia_mov")),
@@ -32,7 +34,8 @@ def _parsed(raw: DataFrame) -> DataFrame:
         "cnae20subclasse": clean_code(F.col("cnae20subclasse")),
         "cbo2002ocupacao": clean_code(F.col("cbo2002ocupacao")),
         vocab.DISABILITY: disability_code(F.col(vocab.DISABILITY)),
-    })
+    }
+    return select_once(named, *[parsed.get(c, F.col(c)).alias(c) for c in named.columns])
 
 
 def clean_movements(raw: DataFrame) -> DataFrame:
@@ -43,8 +46,8 @@ def clean_movements(raw: DataFrame) -> DataFrame:
 
 def to_cube(clean: DataFrame, **bounds):
     """Quality bounds, month, cube."""
-    rows = clean.withColumn("data", month_of(F.col("competencia_mov"))).where(F.col("data").isNotNull())
-    rows = quality_bounds(rows, **bounds)
+    rows = quality_bounds(clean, **bounds).withColumn("data", month_of(F.col("competencia_mov")))
+    rows = rows.where(F.col("data").isNotNull())
     code = F.coalesce(F.col(vocab.DISABILITY), F.lit(vocab.NULL_KEY))
     return build_cube(rows.withColumn(vocab.DISABILITY, code))
 

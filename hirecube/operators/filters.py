@@ -33,7 +33,7 @@ def any_blank(cols: list[str]) -> Column:
     """True when any of the columns is null or blank."""
     out = F.lit(False)
     for name in cols:
-        out = out | is_blank(F.col(name))
+        out = out | is_blank(F.col(f"`{name}`"))
     return out
 
 

@@ -94,3 +94,21 @@ def series_arrays(
         F.transform("p", lambda x: x["data"]).alias("meses"),
         F.transform("p", lambda x: x["v"]).alias("valores"),
     )
+
+
+def count_series(grid: DataFrame, dim: str = "grau_instrucao", value: str = "total", kind: str = "chart") -> DataFrame:
+    """Per category the counts in month order; categories in natural order of their codes.
+
+    The position of a category is its rank among the categories, of which there
+    are as many as series in one chart.
+    """
+    folded = grid.groupBy(dim).agg(F.sort_array(F.collect_list(F.struct("data", F.col(value).alias("v")))).alias("p"))
+    codes = F.array_sort(F.collect_set(F.struct(F.length(dim).alias("n"), F.col(dim).alias("c"))))
+    ranked = folded.agg(codes.alias("codes")).select("codes").scalar()
+    place = F.array_position(ranked, F.struct(F.length(dim).alias("n"), F.col(dim).alias("c"))) - 1
+    return folded.select(
+        place.cast("int").alias("ordem"), dim,
+        dims.label(F.col(dim), dim, kind, "Código {}").alias("nome"),
+        F.transform("p", lambda x: x["data"]).alias("meses"),
+        F.transform("p", lambda x: x["v"]).alias("valores"),
+    )

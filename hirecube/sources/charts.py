@@ -24,7 +24,8 @@ def chart_payload(
     ``series`` has one row per category: ``ordem``, ``nome``, ``meses``, ``valores``.
     The result is as long as a chart. Values that JSON cannot say become null.
     """
-    value = F.transform("valores", lambda v: finite_or_null(v.cast("double")))
+    whole = series.schema["valores"].dataType.elementType.typeName() in ("integer", "long")
+    value = F.col("valores") if whole else F.transform("valores", finite_or_null)
     fields: list[Column] = []
     if series_type:
         fields.append(F.lit(series_type).alias("type"))

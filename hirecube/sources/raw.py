@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from hirecube import vocab
 from hirecube.functions.text import null_tokens, norm_name, strip
 from hirecube.functions.text import is_blank
-from hirecube.operators.filters import is_admission
+from hirecube.operators.filters import any_blank, is_admission
 from hirecube.operators.joins import lookup_join
+from hirecube.operators.once import select_once
 from hirecube.session import checkpoint
 
 CANONICAL = [*vocab.REQUIRED_COLUMNS, *vocab.OPTIONAL_COLUMNS]
-N_REQUIRED = len(vocab.REQUIRED_COLUMNS)
 
 # fixed values: what the bytes 0x80..0x9F mean in cp1252 (five of them mean nothing)
 _CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
@@ -80,26 +80,30 @@ def count_fields(line: Column) -> Column:
     return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(";"), F.lit(""))) + 1
 
 
-def column_positions(header: Column) -> Column:
-    """1-based position of each canonical column in a header, 0 when absent.
+def header_names(header: Column) -> Column:
+    """Normalised header cells; repeats of an identical cell become blank."""
+    return F.transform(
+        header,
+        lambda cell, i: F.when(F.array_position(header, cell) == i + 1, norm_name(cell)).otherwise(F.lit("")),
+    )
+
+
+def column_positions(names: str) -> Column:
+    """1-based position of each canonical column among normalised names, 0 when absent.
 
     The canonical name wins over other spellings, which are tried in order. Of
     several cells that normalise alike the last counts; of exact copies the first.
     """
-    names = F.transform(
-        header,
-        lambda cell, i: F.when(F.array_position(header, cell) == i + 1, norm_name(cell)).otherwise(F.lit("")),
-    )
-    # last match wins: search the reversed list
-    backwards = F.reverse(names)
 
-    def position(spelling: str) -> Column:
-        found = F.array_position(backwards, F.lit(spelling))
-        return F.when(found > 0, F.size(names) - found + 1)
+    def position(spelling: str) -> str:
+        # last match wins: search the reversed list
+        return f"nullif(array_position(reverse({names}), '{spelling}'), 0)"
+
+    def best(canonical: str) -> str:
+        found = ", ".join(position(s) for s in vocab.HEADER_SPELLINGS[canonical])
+        return f"int(coalesce(size({names}) + 1 - coalesce({found}), 0))"
 
-    return F.array(*[
-        F.coalesce(*[position(s) for s in vocab.HEADER_SPELLINGS[c]], F.lit(0)).cast("int") for c in CANONICAL
-    ])
+    return F.expr(f"array({', '.join(best(c) for c in CANONICAL)})")
 
 
 def profile_files(lines: DataFrame) -> DataFrame:
@@ -147,10 +151,12 @@ def profile_files(lines: DataFrame) -> DataFrame:
          - F.aggregate(ends, F.lit(0).cast("bigint"), lambda a, e: a + e["lines"])).alias("long_lines"),
     )
     header = split_fields(decoded(F.col("header_line"), F.col("encoding")))
-    files = files.withColumn("header", F.transform(header, strip))
-    names = F.transform("header", norm_name)
-    markers = F.size(F.array_intersect(names, F.array(*[F.lit(m) for m in vocab.HEADER_MARKERS])))
-    files = files.withColumn("positions", column_positions(F.col("header"))).withColumn("markers", markers)
+    files = select_once(files, *files.columns, F.transform(header, strip).alias("header"))
+    files = select_once(files, *files.columns, header_names(F.col("header")).alias("names"))
+    markers = F.size(F.array_intersect("names", F.array(*[F.lit(m) for m in vocab.HEADER_MARKERS])))
+    files = select_once(
+        files, *files.columns, column_positions("names").alias("positions"), markers.alias("markers")
+    ).drop("names")
     missing = F.filter(
         F.array(*[F.when(F.get("positions", F.lit(i)) == 0, F.lit(c)) for i, c in enumerate(vocab.REQUIRED_COLUMNS)]),
         lambda c: c.isNotNull(),
@@ -159,22 +165,28 @@ def profile_files(lines: DataFrame) -> DataFrame:
     files = files.withColumn(
         "accepted", (F.col("markers") >= vocab.MIN_HEADER_MARKERS) & (F.size("missing") == 0)
     )
-    cells = canonical_cells(F.col("last_line"))
-    blank = F.exists(F.slice(cells, 1, N_REQUIRED), lambda c: c.isNull() | (strip(c) == ""))
-    return files.withColumn("bad_trailer", (F.col("last_line") != F.col("header_line")) & blank)
+    named = canonical_columns(files, "last_line", files.columns)
+    bad = (F.col("last_line") != F.col("header_line")) & any_blank(list(vocab.REQUIRED_COLUMNS))
+    return named.select(*files.columns, bad.alias("bad_trailer"))
 
 
-def canonical_cells(line: Column) -> Column:
-    """Cells of a line in canonical column order; needs ``encoding`` and ``positions`` beside it."""
-    fields = split_fields(decoded(line, F.col("encoding")))
-    return F.transform(
-        "positions",
-        lambda p: F.when(p > 0, null_tokens(F.get(fields, p - 1), vocab.NA_TOKENS)),
-    )
+def canonical_columns(rows: DataFrame, line: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the cells of ``line`` under canonical names; needs ``encoding`` and ``positions``.
 
+    Each step is its own projection, so a line is decoded and split once.
+    """
+    rows = rows.withColumn("_line", decoded(F.col(line), F.col("encoding")))
+    rows = rows.withColumn("_fields", split_fields(F.col("_line")))
+
+    def cell(i: int) -> Column:
+        place = F.get("positions", F.lit(i)) - 1
+        found = null_tokens(F.get("_fields", place), vocab.NA_TOKENS)
+        if CANONICAL[i] == vocab.DISABILITY:
+            # a file without this column says "not identified" for all its rows
+            found = F.when(place < 0, F.lit(vocab.UNKNOWN_CODE)).otherwise(found)
+        return found.alias(CANONICAL[i])
 
-def _named(cells: str = "cells") -> list[Column]:
-    return [F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(CANONICAL)]
+    return select_once(rows, *keep, *[cell(i) for i in range(len(CANONICAL))])
 
 
 def drop_trailer(rows: DataFrame, profile: DataFrame) -> DataFrame:
@@ -186,9 +198,7 @@ def drop_trailer(rows: DataFrame, profile: DataFrame) -> DataFrame:
     row that the admission and number tests would let through, which is rare.
     """
     main = rows.where(~(F.col("bad_trailer") & (F.col("value") == F.col("last_line"))))
-    named = profile.where("accepted and bad_trailer").withColumn("cells", canonical_cells(F.col("last_line"))).select(
-        "arquivo", *_named()
-    )
+    named = canonical_columns(profile.where("accepted and bad_trailer"), "last_line", ["arquivo"])
     passing = named.where(
         is_admission(F.col("`tipomovimentação`"), F.col(vocab.BALANCE))
         & F.col("idade").isNotNull() & F.col("`salário`").isNotNull() & F.col("`competênciamov`").isNotNull()
@@ -216,12 +226,7 @@ def split_lines(lines: DataFrame, profile: DataFrame) -> DataFrame:
     # a copy of the header further down is never an admission, so all copies may go
     rows = rows.where((value != F.col("header_line")) & (count_fields(value) <= F.col("width")))
     rows = drop_trailer(rows, profile)
-    rows = rows.select("arquivo", "positions", canonical_cells(value).alias("cells"))
-    # a file without the disability column says "not identified" for all its rows
-    absent = F.get("positions", F.lit(CANONICAL.index(vocab.DISABILITY))) == 0
-    named = rows.select("arquivo", "positions", *_named())
-    known = F.when(absent, F.lit(vocab.UNKNOWN_CODE)).otherwise(F.col(vocab.DISABILITY))
-    return named.withColumn(vocab.DISABILITY, known).drop("positions")
+    return canonical_columns(rows, "value", ["arquivo"])
 
 
 def read_movements(

@@ -131,9 +131,10 @@ class VersionedTable:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.root}/{folder}")
 
-    def write(self, df: DataFrame, partition_by: str | None = None) -> int:
+    def write(self, df: DataFrame, partition_by: str | None = None, version: int | None = None) -> int:
         last = self.current()
-        version = 1 if last is None else last[0] + 1
+        if version is None:
+            version = 1 if last is None else last[0] + 1
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
         folder = f"v{version:06d}_{stamp}"
         writer = _partitioned(df, partition_by) if partition_by else df.write
