@@ -6,7 +6,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +73,15 @@ def dummy_encode(df: DataFrame, categories: list[str], numbers: list[str]):
 def aliased_columns(frame: DataFrame, order: list[int], tolerance: float = 1e-9) -> set[int]:
     """Columns that are linear combinations of earlier ones (in ``order``) and the constant.
 
-    Executors fold the rows to a correlation matrix, one entry per pair of model
-    terms; the sequential elimination on that matrix is model-sized.
+    Executors fold the rows to variances and a correlation matrix, one entry per
+    pair of model terms; the sequential elimination on that matrix is model-sized.
     """
+    variance = frame.select(Summarizer.variance(F.col("features"))).first()[0].toArray()
     corr = Correlation.corr(frame, "features").first()[0].toArray()
     kept: list[int] = []
     dropped: set[int] = set()
     for j in order:
-        if not np.isfinite(corr[j, j]):  # no variance: an alias of the constant
+        if variance[j] <= 0.0:  # an alias of the constant
             dropped.add(j)
             continue
         if kept:

@@ -233,7 +233,11 @@ FROM lines""",
     f"""lines AS (
   SELECT grau_instrucao, {case("grau_instrucao", vocab.LABELS["grau_instrucao"]["chart"], "NULL")} AS nome,
     {case("grau_instrucao", {str(i + 1): c for i, c in enumerate(vocab.EDUCATION_PALETTE)}, "NULL")} AS cor,
-    list(total ORDER BY data) AS pts FROM counts GROUP BY grau_instrucao
+    list(total ORDER BY data) AS pts FROM (
+    SELECT m.data, c.grau_instrucao, coalesce(k.total, 0) AS total FROM (SELECT DISTINCT data FROM counts) m
+    CROSS JOIN (SELECT DISTINCT grau_instrucao FROM counts) c
+    LEFT JOIN counts k ON k.data = m.data AND k.grau_instrucao = c.grau_instrucao
+  ) GROUP BY grau_instrucao
 )"""))
 def _chart_education(spark, sf):
     counts = checkpoint(reshape.counts_by_month(b.rows(spark, sf)))
