@@ -82,8 +82,11 @@ def group_series(cube: DataFrame, scenarios=None, dimensions=None, snap: int | N
         lambda g: g.isNotNull(),
     )
     base = ["data", "soma_salario", "total_admissoes"]
-    spread = profile.select(*base, groups.alias("g"), F.inline(_memberships(scenarios)))
-    spread = spread.select(*base, "filtro_tipo", "filtro_valor", F.inline("g"))
+    # the outer form keeps Catalyst from inferring "array not empty" and testing it on every cube row
+    spread = profile.select(*base, groups.alias("g"), F.inline_outer(_memberships(scenarios)))
+    spread = spread.select(*base, "filtro_tipo", "filtro_valor", F.inline_outer("g")).where(
+        F.col("filtro_tipo").isNotNull() & F.col("grupo_codigo").isNotNull()
+    )
     return sums(spread, [*SERIES_KEYS, "data"]).withColumnsRenamed(
         {"soma_salario": "soma_salario_total", "total_admissoes": "total_admissoes_total"}
     )

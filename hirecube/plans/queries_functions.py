@@ -305,7 +305,8 @@ def _scenarios(spark, sf):
         ]),
         lambda x: x.isNotNull(),
     )
-    return rows.select("soma_salario", F.explode(members).alias("s")).groupBy("s.filtro_tipo", "s.filtro_valor").agg(
+    each = rows.select("soma_salario", F.explode_outer(members).alias("s")).where("s is not null")
+    return each.groupBy("s.filtro_tipo", "s.filtro_valor").agg(
         F.count(F.lit(1)).alias("n"), numbers.total("soma_salario", 2).alias("soma")
     )
 

@@ -19,6 +19,7 @@ from hirecube.operators.joins import lookup_join
 from hirecube.operators.once import select_once
 from hirecube.session import checkpoint
 
+COPIES_PER_TASK = 1_000_000
 CANONICAL = [*vocab.REQUIRED_COLUMNS, *vocab.OPTIONAL_COLUMNS]
 
 # fixed values: what the bytes 0x80..0x9F mean in cp1252 (five of them mean nothing)
@@ -130,25 +131,29 @@ def profile_files(lines: DataFrame) -> DataFrame:
         F.max(F.struct("place", "value")).alias("last"),
         F.count(F.lit(1)).alias("lines"),
     )
-    # few rows per file from here on
-    width = F.min(F.struct("first", "cells")).alias("w")
-    widths = by_width.groupBy("arquivo").agg(
-        width,
+    # one small row per file and line width from here on; kept, because it is looked at twice
+    by_width = checkpoint(by_width)
+    files = by_width.groupBy("arquivo").agg(
+        F.min(F.struct("first", "cells")).alias("w"),
         F.bool_and(~F.array_contains("valid", False)).alias("valid"),
         F.bool_or("undefined").alias("undefined"),
-        F.collect_list(F.struct("last", "cells", "lines")).alias("ends"),
+        F.sum("lines").alias("lines"),
+    )
+    # the last line is the last one that is no longer than the header
+    fitting = (
+        by_width.join(files.select("arquivo", F.col("w.cells").alias("width")), "arquivo")
+        .where(F.col("cells") <= F.col("width"))
+        .groupBy("arquivo").agg(F.max("last").alias("last"), F.sum("lines").alias("fitting"))
     )
-    ends = F.filter("ends", lambda e: e["cells"] <= F.col("w.cells"))
     encoding = F.when(F.col("valid"), "utf-8").when(~F.col("undefined"), "cp1252").otherwise("latin-1")
-    files = widths.select(
+    files = files.join(fitting, "arquivo").select(
         "arquivo",
         encoding.alias("encoding"),
         F.col("w.first.value").alias("header_line"),
         F.col("w.cells").alias("width"),
-        F.array_max(F.transform(ends, lambda e: e["last"]))["value"].alias("last_line"),
-        (F.aggregate(ends, F.lit(0).cast("bigint"), lambda a, e: a + e["lines"]) - 1).alias("data_lines"),
-        (F.aggregate("ends", F.lit(0).cast("bigint"), lambda a, e: a + e["lines"])
-         - F.aggregate(ends, F.lit(0).cast("bigint"), lambda a, e: a + e["lines"])).alias("long_lines"),
+        F.col("last.value").alias("last_line"),
+        (F.col("fitting") - 1).alias("data_lines"),
+        (F.col("lines") - F.col("fitting")).alias("long_lines"),
     )
     header = split_fields(decoded(F.col("header_line"), F.col("encoding")))
     files = select_once(files, *files.columns, F.transform(header, strip).alias("header"))
@@ -210,8 +215,13 @@ def drop_trailer(rows: DataFrame, profile: DataFrame) -> DataFrame:
         .groupBy("arquivo").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    # very many copies are dealt out in portions to many tasks
+    portion = F.col("_portion")
     again = profile.join(copies, "arquivo").withColumn("value", F.col("last_line"))
-    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n"))))
+    again = again.withColumn("_portion", F.explode(F.expr(f"sequence(0L, (n - 2) div {COPIES_PER_TASK})")))
+    again = again.repartition("arquivo", "_portion").withColumn("_copy", F.explode(F.sequence(
+        F.lit(1).cast("bigint"), F.least(F.lit(COPIES_PER_TASK), F.col("n") - 1 - portion * COPIES_PER_TASK)
+    )))
     return main.unionByName(again.select(*main.columns))
 
 

@@ -73,15 +73,16 @@ def test_lines_of_every_kind(spark, tmp_path, encoding, detected):
     assert audit["salario_ilegivel"] == 1 and audit["idade_ilegivel"] == 2
 
 
-def test_bad_row_counts_as_trailer_only_at_the_end(spark, tmp_path):
+def test_bad_row_counts_as_trailer_only_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "COPIES_PER_TASK", 2)
     bad = line(city="")  # required cell missing, would pass everything else
-    write(tmp_path, "a202105.txt", [bad, bad, line(), bad])
+    write(tmp_path, "a202105.txt", [bad, bad, bad, bad, bad, line(), bad])
     write(tmp_path, "b202105.txt", [bad, line()])
     rows = read(spark, tmp_path)
     got = {r["f"]: r["n"] for r in rows.where("`município` is null").groupBy(
         F.substring_index("arquivo", "/", -1).alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == {"a202105.txt": 2, "b202105.txt": 1}
-    assert rows.count() == 5
+    assert got == {"a202105.txt": 5, "b202105.txt": 1}
+    assert rows.count() == 8
 
 
 def test_many_splits_give_the_same(spark, tmp_path):
