@@ -66,10 +66,5 @@ def natural_order(col: Column) -> list[Column]:
     return [F.length(col), col]
 
 
-def null_tokens(col: Column, tokens) -> Column:
-    """Null for the spellings of a missing cell, the text itself otherwise."""
-    return F.when(~col.isin(list(tokens)), col)
-
-
 def is_blank(col: Column) -> Column:
     return col.isNull() | (strip(col) == "")

@@ -133,6 +133,9 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
     needs_shocks = any(o.q or o.seasonal for o in grid)
     solve = _normal_equations()
     series_window = Window.partitionBy(*SERIES_KEYS).orderBy("t")
+    if needs_shocks:
+        # the two regressions both start from the series, which are small: they are computed once
+        calendar = checkpoint(calendar)
 
     seasonal_ok = F.col("n_obs") >= SEASONAL_MIN_MONTHS
     has_seasonal = any(o.seasonal for o in grid)

@@ -9,6 +9,7 @@ from hirecube import vocab
 from hirecube.functions import dims
 from hirecube.functions.numbers import safe_ratio, total, weighted
 from hirecube.operators.filters import exclude_codes, in_year, positive_weight, year_filter
+from hirecube.session import checkpoint
 
 
 def weighted_mean(df: DataFrame, by=(), age_too: bool = False, snap: int | None = None) -> DataFrame:
@@ -70,24 +71,24 @@ def ratio_to_reference(
 ) -> DataFrame:
     """Mean pay of each group against a base group; no rows when the base is missing.
 
-    The base enters as a scalar subquery over the same small aggregate, so no
-    group meets another in a join and nothing is gathered into one window.
+    The codes are known, so all means come out of one global aggregate over one
+    scan; the single row of sums is then turned into one row per group.
     """
     codes = list(vocab.LABELS[dim]["chart"]) if codes is None else list(codes)
+    wanted = codes if base in codes else [base, *codes]
     rows = year_filter(positive_weight(cube), year)
-    means = weighted_mean(rows.where(F.col(dim).isin(codes)), [dim], snap=snap)
-    reference = means.where(F.col(dim) == base).agg(F.max("salario_medio").alias("base")).select("base").scalar()
+    means = rows.agg(*[_mean_where(F.col(dim) == c, snap).alias(f"m{i}") for i, c in enumerate(wanted)])
+    lines = F.array(*[
+        F.struct(F.lit(c).alias(dim), F.col(f"m{wanted.index(c)}").alias("salario_medio")) for c in codes
+    ])
+    out = means.select(F.col(f"m{wanted.index(base)}").alias("base"), F.inline(lines))
     ratio = safe_ratio(F.col("salario_medio"), F.col("base"))
-    return (
-        means.withColumn("base", reference)
-        .where(F.col("base").isNotNull())
-        .select(
-            dim,
-            dims.label(F.col(dim), dim, "chart").alias("nome"),
-            "salario_medio",
-            (ratio * 100).alias("razao_pct"),
-            ((1 - ratio) * 100).alias("gap_pct"),
-        )
+    return out.where("base is not null and salario_medio is not null").select(
+        dim,
+        dims.label(F.col(dim), dim, "chart").alias("nome"),
+        "salario_medio",
+        (ratio * 100).alias("razao_pct"),
+        ((1 - ratio) * 100).alias("gap_pct"),
     )
 
 
@@ -97,9 +98,12 @@ def composition(
     dim: str = "grau_instrucao",
     excluded=tuple(vocab.UNIDENTIFIED_EDUCATION),
 ) -> DataFrame:
-    """Admissions per category and their share of the total, largest first."""
+    """Admissions per category and their share of the total, largest first.
+
+    The counts are checkpointed: the total looks at them again, not at the cube.
+    """
     rows = exclude_codes(year_filter(positive_weight(cube), year), dim, excluded)
-    counts = rows.groupBy(dim).agg(F.sum("total_admissoes").alias("total"))
+    counts = checkpoint(rows.groupBy(dim).agg(F.sum("total_admissoes").alias("total")))
     everything = counts.agg(F.sum("total").alias("n")).select("n").scalar()
     return (
         counts.withColumn("participacao_pct", safe_ratio(F.col("total"), everything) * 100)

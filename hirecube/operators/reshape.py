@@ -11,6 +11,7 @@ from hirecube.functions.months import month_index, month_text
 from hirecube.functions.numbers import report_round, safe_ratio, weighted
 from hirecube.operators.filters import exclude_codes, positive_weight
 from hirecube.operators.means import weighted_mean
+from hirecube.session import checkpoint
 
 
 def pivot_mean(cube: DataFrame, dim: str, codes: list[str], prefix: str = "", snap: int | None = None) -> DataFrame:
@@ -32,7 +33,9 @@ def month_category_grid(counts: DataFrame, dim: str = "grau_instrucao", value: s
 
     Each category brings its own calendar (a generated sequence), reduced to the
     observed months: the grid grows by generation, not by a product of two tables.
+    The counts are checkpointed, as every part of the grid looks at them.
     """
+    counts = checkpoint(counts)
     span = counts.agg(F.min(month_index(F.col("data"))).alias("a"), F.max(month_index(F.col("data"))).alias("b"))
     first, last = span.select("a").scalar(), span.select("b").scalar()
     categories = counts.select(dim).distinct()
@@ -49,8 +52,10 @@ def percent_stack(counts: DataFrame, dim: str = "grau_instrucao", value: str = "
     """Share of each category in its month.
 
     The monthly total is joined from a second, tiny aggregate, so a month with
-    very many categories is never gathered in one window.
+    very many categories is never gathered in one window. Both read the
+    checkpointed counts.
     """
+    counts = checkpoint(counts)
     months = counts.groupBy("data").agg(F.sum(value).alias("_month"))
     return counts.join(months, "data").select(
         "data", dim, value, (safe_ratio(F.col(value), F.col("_month")) * 100).alias("participacao_pct")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirecube import vocab
 from hirecube.operators import forecast, history, means, regression, repair, reshape
 from hirecube.operators.clean import clean_movements, to_cube
+from hirecube.operators.cube import merge_cube
 from hirecube.operators.filters import positive_weight
 from hirecube.session import checkpoint
 from hirecube.sources import charts, tables
@@ -103,14 +104,19 @@ def dashboard(cube: DataFrame, first: str, last: str, snap: int | None = None) -
 
 
 def write_charts(cube: DataFrame, root: str, snap: int | None = None) -> None:
-    """The four chart payloads as JSON text under ``root``."""
+    """The four chart payloads as JSON text under ``root``.
+
+    All charts are drawn from one fold of the cube to month x profile, so the
+    cube is read once.
+    """
+    cube = checkpoint(merge_cube(cube, keys=["data", *history.PROFILE], snap=snap))
     mean_title, mean_axis = "Salário Médio de Admissão por {}", "R$ (média)"
 
     def mean_series(dim: str, keep_absent: bool = False) -> DataFrame:
         by_month = means.weighted_mean(positive_weight(cube), ["data", dim], snap=snap)
         return reshape.series_arrays(by_month, dim, list(vocab.LABELS[dim]["chart"]), keep_absent=keep_absent)
 
-    counts = checkpoint(reshape.counts_by_month(cube))
+    counts = reshape.counts_by_month(cube)
     payloads = {
         "genero": charts.chart_payload(mean_series("genero"), mean_title.format("Gênero"), SOURCE_NOTE, mean_axis),
         "raca": charts.chart_payload(

@@ -9,6 +9,7 @@ from hirecube.operators import cube as cubes
 from hirecube.operators import means, repair
 from hirecube.plans import bindings as b
 from hirecube.plans.catalog import register
+from hirecube.session import checkpoint
 
 COARSE = ["data", "grau_instrucao", "genero", "raca_cor"]
 GROUP = COARSE[1:]
@@ -63,7 +64,9 @@ SELECT t.*, mean_sal_base, mean_idd_base, prior_max_mean_sal FROM (SELECT * FROM
 LEFT JOIN base USING (grau_instrucao, genero, raca_cor)
 """, b.cube_sql(COARSE), BASE_SQL))
 def _join_baseline(spark, sf):
-    return repair.join_baseline(_month(spark, sf, ["1998-08"]), _month(spark, sf, BASE_MONTHS), GROUP, snap=2)
+    cube = checkpoint(_month(spark, sf, ["1998-08", *BASE_MONTHS]))
+    target, baseline = cube.where("data = '1998-08'"), cube.where(F.col("data").isin(BASE_MONTHS))
+    return repair.join_baseline(target, baseline, GROUP, snap=2)
 
 
 LIMIT, FACTOR = 60_000.0, 1.1
@@ -117,8 +120,9 @@ ROUNDED = "* REPLACE (round(soma_salario, 6) AS soma_salario, round(soma_idade,
 @register("repair_month", b.with_sql(
     f"SELECT {ROUNDED} FROM (SELECT * EXCLUDE (fix), fix AS apply_fix FROM aug)", b.cube_sql(COARSE), *AUGUST_SQL))
 def _repair_month(spark, sf):
+    cube = checkpoint(_month(spark, sf, ["1998-08", *BASE_MONTHS]))
     out = repair.repair_month(
-        _month(spark, sf, ["1998-08"]), _month(spark, sf, BASE_MONTHS), GROUP, LIMIT, FACTOR, audit=True, snap=2
+        cube.where("data = '1998-08'"), cube.where(F.col("data").isin(BASE_MONTHS)), GROUP, LIMIT, FACTOR, audit=True, snap=2
     )
     return _rounded(out.select(*COARSE, *vocab.CUBE_MEASURES, (F.col("apply_fix") & ~F.col("no_baseline"))
                                .alias("apply_fix")))
@@ -131,9 +135,8 @@ PLAN = {"1998-08": BASE_MONTHS, "1998-09": ["1998-06", "1998-07", "1998-08"]}
     f"SELECT {ROUNDED} FROM (SELECT * EXCLUDE (fix) FROM aug UNION ALL BY NAME SELECT * EXCLUDE (fix) FROM sep)",
     b.cube_sql(COARSE), *AUGUST_SQL, *SEPTEMBER_SQL))
 def _repair_sequence(spark, sf):
-    fixed = repair.repair_months_in_sequence(
-        b.cube(spark, sf, COARSE), PLAN, keys=GROUP, limit=LIMIT, factor=FACTOR, snap=2
-    )
+    cube = checkpoint(_month(spark, sf, sorted({*BASE_MONTHS, *PLAN})))
+    fixed = repair.repair_months_in_sequence(cube, PLAN, keys=GROUP, limit=LIMIT, factor=FACTOR, snap=2)
     return _rounded(fixed["1998-08"].unionByName(fixed["1998-09"]))
 
 
@@ -143,7 +146,7 @@ def _repair_sequence(spark, sf):
 ) WHERE data IN ('1998-07', '1998-08', '1998-09') GROUP BY data""",
     b.cube_sql(COARSE), *AUGUST_SQL, *SEPTEMBER_SQL))
 def _repaired_mean(spark, sf):
-    cube = b.cube(spark, sf, COARSE)
+    cube = checkpoint(b.cube(spark, sf, COARSE))
     fixed = repair.repair_months_in_sequence(cube, PLAN, keys=GROUP, limit=LIMIT, factor=FACTOR, snap=2)
     out = means.monthly_mean(repair.apply_repairs(cube, fixed), ["1998-07", "1998-08", "1998-09"])
     return out.select("data", F.round("salario_medio", 4).alias("salario_medio"))

@@ -11,6 +11,7 @@ from hirecube.operators import series as ts
 from hirecube.plans import bindings as b
 from hirecube.plans.catalog import register
 from hirecube.plans.queries_reports import REGION, case
+from hirecube.session import checkpoint
 
 D = vocab.DISABILITY
 
@@ -140,7 +141,7 @@ s AS (
 
 
 def _series(spark, sf):
-    return ts.salary_series(ts.group_series(b.rows(spark, sf), snap=2))
+    return checkpoint(ts.salary_series(ts.group_series(b.rows(spark, sf), snap=2)))
 
 
 @register("group_series", b.with_sql("SELECT * FROM g", COUNTRY_SQL))

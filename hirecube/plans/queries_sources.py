@@ -17,7 +17,7 @@ from hirecube.operators import filters, means, reshape
 from hirecube.plans import bindings as b
 from hirecube.plans.catalog import register
 from hirecube.plans.queries_reports import MEAN, case
-from hirecube.session import checkpoint, scratch_path
+from hirecube.session import scratch_path
 from hirecube.sources import charts, raw, tables
 from hirecube.streaming.ingest import CubeStore, ingest_new_months
 
@@ -240,7 +240,7 @@ FROM lines""",
   ) GROUP BY grau_instrucao
 )"""))
 def _chart_education(spark, sf):
-    counts = checkpoint(reshape.counts_by_month(b.rows(spark, sf)))
+    counts = reshape.counts_by_month(b.rows(spark, sf))
     series = reshape.count_series(reshape.month_category_grid(counts))
     return charts.chart_payload(
         series, "T", "S", "Participação (%)", series_type="column", palette=vocab.EDUCATION_PALETTE,

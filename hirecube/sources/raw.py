@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirecube import vocab
-from hirecube.functions.text import null_tokens, norm_name, strip
+from hirecube.functions.text import norm_name, strip
 from hirecube.functions.text import is_blank
 from hirecube.operators.filters import any_blank, is_admission
 from hirecube.operators.joins import lookup_join
@@ -183,15 +183,18 @@ def canonical_columns(rows: DataFrame, line: str, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("_line", decoded(F.col(line), F.col("encoding")))
     rows = rows.withColumn("_fields", split_fields(F.col("_line")))
 
-    def cell(i: int) -> Column:
-        place = F.get("positions", F.lit(i)) - 1
-        found = null_tokens(F.get("_fields", place), vocab.NA_TOKENS)
+    missing = ", ".join(f"'{token}'" for token in vocab.NA_TOKENS)
+
+    def cell(i: int) -> str:
+        place = f"get(positions, {i}) - 1"
+        text = f"get(_fields, {place})"
+        found = f"if({text} IN ({missing}), null, {text})"
         if CANONICAL[i] == vocab.DISABILITY:
             # a file without this column says "not identified" for all its rows
-            found = F.when(place < 0, F.lit(vocab.UNKNOWN_CODE)).otherwise(found)
-        return found.alias(CANONICAL[i])
+            found = f"if({place} < 0, '{vocab.UNKNOWN_CODE}', {found})"
+        return f"{found} AS `{CANONICAL[i]}`"
 
-    return select_once(rows, *keep, *[cell(i) for i in range(len(CANONICAL))])
+    return select_once(rows, *keep, *[F.expr(cell(i)) for i in range(len(CANONICAL))])
 
 
 def drop_trailer(rows: DataFrame, profile: DataFrame) -> DataFrame:
