@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirecube import vocab
-from hirecube.functions.text import norm_name, strip
-from hirecube.functions.text import is_blank
+from hirecube.functions.text import is_blank, norm_name, strip
 from hirecube.operators.filters import any_blank, is_admission
 from hirecube.operators.joins import lookup_join
 from hirecube.operators.once import select_once

@@ -34,7 +34,7 @@ def db():
 def test_contract(contract):
     queries, oracle = contract.queries(), contract.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) >= 70
-    assert not set(queries) - set(oracle) - {"ols_all_terms", "fit_seasonal_ar", "project_groups", "projection_status"}
+    assert not set(queries) - set(oracle) - {"ols_all_terms", "fit_seasonal_ar", "project_groups"}
 
 
 def test_entry(spark, contract, db):
