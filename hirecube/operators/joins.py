@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
 
 
@@ -15,17 +16,20 @@ def lookup_join(
     key: str,
     how: str = "inner",
     max_rows: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
     salts: int = SALTS,
     spread_by: list[str] | None = None,
 ) -> DataFrame:
     """Join ``lookup`` (at most one row per key) to ``facts``.
 
-    The lookup is counted first and broadcast only up to ``max_rows`` rows.
-    Beyond that both sides are shuffled, with each lookup row copied to every
+    The lookup is measured first and broadcast only up to ``max_rows`` rows and
+    ``max_bytes`` of text form. Beyond that both sides are shuffled, with each lookup row copied to every
     salt, so that one key holding a large part of the facts is spread over many
-    tasks. ``lookup`` should be materialised, as counting it runs it.
+    tasks. ``lookup`` should be materialised, as measuring it runs it.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    length = F.octet_length(F.to_json(F.struct(*lookup.columns)))
+    size = lookup.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    if size["rows"] <= max_rows and size["bytes"] <= max_bytes:
         return facts.join(F.broadcast(lookup), key, how)
     cols = [F.col(c) for c in (spread_by or facts.columns)]
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))

@@ -75,9 +75,9 @@ def split_fields(line: Column) -> Column:
     return F.when(line.contains('"'), quoted).otherwise(F.split(line, ";", -1))
 
 
-def count_fields(line: Column) -> Column:
+def count_fields(line: Column, sep: str = ";") -> Column:
     plain = F.when(line.contains('"'), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
-    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(";"), F.lit(""))) + 1
+    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
 
 
 def header_names(header: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from hirecube import vocab
 from hirecube.operators.clean import OUTPUT_NAMES
 from hirecube.operators.cube import CUBE_SCHEMA, with_disability
+from hirecube.operators.once import select_once
+from hirecube.sources.raw import count_fields
 
 CLEAN_SCHEMA = ", ".join(
     f"`{name}` " + {"idade": "int", "salario": "double"}.get(name, "string") for name in OUTPUT_NAMES.values()
@@ -44,10 +46,25 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def _read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text. Lines longer than the header are skipped, short ones padded with nulls.
+
+    The parser calls both malformed and hands back their text, on which cells are counted.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    partitions = spark.read.text(path).columns[1:]
+    schema = ", ".join(f"`{c}` string" for c in [*names, "_ruim"])
+    rows = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_ruim").csv(path)
+    cells = count_fields(F.col("_ruim"), ",")
+    kept = rows.where(F.col("_ruim").isNull() | (cells <= len(names) - len(partitions)))
+    # the parser sees malformed lines only while all columns are asked for
+    return select_once(kept, *[F.col(f"`{c}`") for c in names])
+
+
 def read_clean(spark: SparkSession, path: str, fmt: str = "parquet", months: list[str] | None = None) -> DataFrame:
     """Only the columns the cube needs; months prune partitions."""
     if fmt == "csv":
-        rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
+        rows = _read_clean_csv(spark, path)
     else:
         rows = spark.read.schema(CLEAN_SCHEMA).format(fmt).load(path)
     rows = with_disability(rows)

@@ -98,4 +98,5 @@ def test_lookup_join_is_the_same_when_salted(spark):
     for how in ("inner", "left"):
         small = lookup_join(facts, lookup, "k", how)
         large = lookup_join(facts, lookup, "k", how, max_rows=3, salts=5, spread_by=["id"])
-        assert rows_of(small, "id", "k", "v") == rows_of(large, "id", "k", "v")
+        heavy = lookup_join(facts, lookup, "k", how, max_bytes=10, salts=3)
+        assert rows_of(small, "id", "k", "v") == rows_of(large, "id", "k", "v") == rows_of(heavy, "id", "k", "v")

@@ -25,6 +25,15 @@ def test_clean_round_trip_replaces_only_its_months(spark, tmp_path, fmt):
     assert tables.read_clean(spark, path, fmt, months=["202105"]).count() == 1
 
 
+def test_clean_csv_skips_long_lines_and_pads_short_ones(spark, tmp_path):
+    head = "competencia_mov,municipio,cnae20subclasse,grau_instrucao,genero,raca_cor,salario,idade,Deficiencia"
+    (tmp_path / "c.csv").write_text("\n".join([
+        head, "202105,1,47,7,1,3,100.5,31,1.0", "202105,2,47,7,1,3,100.5,31,0,surplus", "202105,3,47,7,1,3,100.5",
+    ]) + "\n")
+    got = tables.read_clean(spark, str(tmp_path), "csv")
+    assert rows_of(got, "municipio", "salario", "idade", D) == [("1", 100.5, 31, "1"), ("3", 100.5, None, None)]
+
+
 def test_cube_is_partitioned_and_pruned(spark, tmp_path, make_cube):
     path = str(tmp_path / "cube")
     tables.write_cube(make_cube([{"data": "2023-01"}, {"data": "2023-02", "soma_salario": 5.0}]), path)
