@@ -77,9 +77,9 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
             first = last
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the number of words before it (one entry more than rows)."""
-    inside = ~SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs without ``gaps``, and for each row the number of runs before it (one entry more than rows)."""
+    inside = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
