@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirecube.llm import impact_search, kneser_ney, language_id, mixing, packing, token_counts, token_files, toxicity
+from hirecube.llm import fingerprints, impact_search, kneser_ney, language_id, mixing, packing, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), _remainder(4) == 2)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_kneser_ney, op3_token_files, op4_language_id, op6_exact_top_k, op7_pack_windows, op8_token_counts, op9_mix_sources, op10_toxicity,
+    op1_kneser_ney, op3_token_files, op4_language_id, op5_fingerprints, op6_exact_top_k, op7_pack_windows, op8_token_counts, op9_mix_sources, op10_toxicity,
 )}
 
 OP6_SQL = """
