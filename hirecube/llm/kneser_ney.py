@@ -35,7 +35,7 @@ U64 = words.U64
 END = words.mix(np.array([0xE0D], U64))[0]
 SHARD_WORDS = 4_000_000
 SHARD_TOKENS = 8_000_000
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS = 1_500_000
 FALLBACK = (0.5, 1.0, 1.5)
 
 
