@@ -101,7 +101,7 @@ def fit(rows: DataFrame, draw: Column, sample: int = SAMPLE, landmarks: int = LA
     """From ``text`` and ``lang`` of at most ``sample`` rows, as many of each language, drawn by hash.
 
     Rows without a language or without a letter teach nothing. The n-gram sets
-    are made by the workers; the driver gets one bit per bucket and row.
+    are made by many tasks and the model by one, from one bit per bucket and row.
     """
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", draw.alias("draw"))
     chosen = samples.by_class(usable, "lang", F.col("draw"), sample).select("lang", "text", "draw")
@@ -115,9 +115,11 @@ def fit(rows: DataFrame, draw: Column, sample: int = SAMPLE, landmarks: int = LA
                     schema, lang=many.column("lang").slice(first, len(out)), draw=many.column("draw").slice(first, len(out)),
                     bits=[b.tobytes() for b in bits])
 
-    got = chosen.mapInArrow(run, "lang string, draw long, bits binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["draw"], r["lang"], r["bits"]))
-    return Classifier.fit([np.frombuffer(r["bits"], np.uint8) for r in got], [r["lang"] for r in got], landmarks)
+    def classifier(got: list[dict]) -> Classifier:
+        got.sort(key=lambda r: (r["draw"], r["lang"], r["bits"]))
+        return Classifier.fit([np.frombuffer(r["bits"], np.uint8) for r in got], [r["lang"] for r in got], landmarks)
+
+    return samples.fit_in_task(chosen.mapInArrow(run, "lang string, draw long, bits binary"), classifier)
 
 
 def predict(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text") -> DataFrame:

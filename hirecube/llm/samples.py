@@ -1,7 +1,11 @@
-"""Bounded samples by class, drawn by hash, for models that are fitted on the driver."""
+"""Bounded samples by class, drawn by hash, for models that one task fits."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,3 +29,13 @@ def by_class(rows: DataFrame, label: str, draw: Column, most: int) -> DataFrame:
     near = rows.withColumn("_draw", draw).where(F.pmod("_draw", F.lit(UNIT)) < limit)
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.pmod("_draw", F.lit(UNIT)), "_draw"))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_rank")
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[dict]], object]):
+    """What ``fit`` makes of all rows, in one task; only for samples of bounded size. The driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([row for many in batches for row in many.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])

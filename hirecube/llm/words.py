@@ -44,7 +44,7 @@ _inverse_powers = np.ones(1, U64)
 def _grow(n: int) -> None:
     global _powers, _inverse_powers
     if len(_powers) < n:
-        n = max(n, CHUNK_BYTES + 1)
+        n = 1 << (n - 1).bit_length()
         with np.errstate(over="ignore"):
             _powers = np.cumprod(np.r_[U64(1), np.full(n - 1, _MULTIPLIER, U64)])
             _inverse_powers = np.cumprod(np.r_[U64(1), np.full(n - 1, _INVERSE, U64)])
