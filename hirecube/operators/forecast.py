@@ -223,7 +223,7 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
     tried = tried.where(n - k >= MIN_FREE_ROWS)
     own_lags = F.array(*[F.lit(v) for v in (0, 1, 2, SEASON)])
     solved = tried.withColumn("s", solve("gram", "use", own_lags))
-    solved = solved.where((F.col("s.rank") == k) & (F.col("s.radius") < 1.0) & (F.col("s.rss") > 0))
+    solved = solved.where((F.col("s.rank") == k) & (F.col("s.radius") < 1.0) & (F.col("s.rss") >= 0))
 
     def lag_array(first: int, second: int, seasonal: int) -> Column:
         picks = {1: first, 2: second, SEASON: seasonal}
@@ -235,7 +235,8 @@ def fit_candidates(calendar: DataFrame, grid: list[Order] | None = None) -> Data
         *SERIES_KEYS, "n_obs", "t1", "centro", "escala", "p", "d", "q", "sazonal",
         n.cast("int").alias("n_linhas"),
         (rss / (n - k)).alias("sigma2"),
-        (n * F.log(rss / n) + 2 * (k + 1)).alias("aic"),
+        # an exact fit, as of a flat series, is better than any other
+        F.when(rss > 0, n * F.log(rss / n) + 2 * (k + 1)).otherwise(F.lit(float("-inf"))).alias("aic"),
         F.get("s.beta", F.lit(0)).alias("c"),
         lag_array(1, 2, 3).alias("phi"),
         lag_array(4, 5, 6).alias("theta"),
@@ -335,8 +336,9 @@ def project_groups(
     grid: list[Order] | None = None,
     min_months: int = vocab.MIN_HISTORY_MONTHS,
     snap: int | None = None,
-) -> DataFrame:
-    """History and forecast of every scenario x dimension x code.
+    with_status: bool = False,
+):
+    """History and forecast of every scenario x dimension x code; with their status rows as a second table where asked for.
 
     The series (one value per series and month) are checkpointed, so the cube is
     read once however often the steps after it look back.
@@ -344,8 +346,10 @@ def project_groups(
     series = checkpoint(salary_series(group_series(cube, scenarios, dimensions, snap), quality))
     fits = fit_seasonal_ar(calendar_complete(min_history(series, min_months)), grid)
     # as in a run that skips a failing series, history is stored along with its forecast only
+    fits = checkpoint(fits) if with_status else fits
     future = forecast(fits, periods, alpha)
-    return union_history_forecast(series.join(fits.select(*SERIES_KEYS), SERIES_KEYS, "left_semi"), future)
+    rows = union_history_forecast(series.join(fits.select(*SERIES_KEYS), SERIES_KEYS, "left_semi"), future)
+    return (rows, projection_status(series, fits, min_months)) if with_status else rows
 
 
 def projection_status(series: DataFrame, fits: DataFrame, min_months: int = vocab.MIN_HISTORY_MONTHS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirecube.session import checkpoint
+
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
@@ -39,5 +41,5 @@ def lookup_join(
 
 def join_quality(series: DataFrame, quality: DataFrame) -> DataFrame:
     """Monthly quality weights joined to rows keyed by month; months without a weight stay."""
-    weights = quality.select(F.col("mes").alias("data"), "peso_qualidade")
+    weights = checkpoint(quality.select(F.col("mes").alias("data"), "peso_qualidade"))
     return lookup_join(series, weights, "data", "left")

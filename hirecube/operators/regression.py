@@ -94,6 +94,25 @@ def aliased_columns(frame: DataFrame, order: list[int], tolerance: float = 1e-9)
     return dropped
 
 
+def _constant_only(design: DataFrame, weighted: bool) -> tuple[float | None, ...]:
+    """Mean, standard error, t and p value of a constant without any other term."""
+    w = F.col("_w") if weighted else F.lit(1.0)
+    sums = design.agg(F.count("_y"), F.sum(w), F.sum(w * F.col("_y"))).first()
+    n, whole, total = sums
+    if not n or not whole:
+        return None, None, None, None
+    mean = total / whole
+    if n < 2:
+        return mean, None, None, None
+    rss = design.agg(F.sum(w * F.pow(F.col("_y") - F.lit(mean), 2))).first()[0]
+    error = (rss / (n - 1) / whole) ** 0.5
+    if not error:
+        return mean, 0.0, None, None
+    t = mean / error
+    tail = design.sparkSession._jvm.org.apache.commons.math3.distribution.TDistribution(float(n - 1))
+    return mean, error, t, 2 * tail.cumulativeProbability(-abs(t))
+
+
 def ols(
     df: DataFrame,
     y: str = "salario_medio",
@@ -117,9 +136,11 @@ def ols(
         *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in numbers],
         target.alias("_y"),
         *([F.col(weight_col).cast("double").alias("_w")] if weight_col else []),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    frame, names, bases = dummy_encode(design, categories, numbers)
+    # encoded once; every later pass reads this
+    frame = frame.select("features", *[c for c in design.columns if c.startswith("_")]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        frame, names, bases = dummy_encode(design, categories, numbers)
         rank = {c: i for i, c in enumerate([*categories, *numbers])}
 
         def place(i: int):
@@ -129,20 +150,22 @@ def ols(
         order = sorted(range(len(names)), key=place)
         dropped = aliased_columns(frame, order) if names else set()
         kept = [i for i in order if i not in dropped]
-        sliced = VectorSlicer(inputCol="features", outputCol="terms", indices=kept).transform(frame)
-        options = {"weightCol": "_w"} if weight_col else {}
-        model = LinearRegression(
-            featuresCol="terms", labelCol="_y", solver="normal", regParam=0.0, **options
-        ).fit(sliced)
-        summary = model.summary
-        estimates = [*map(float, model.coefficients), float(model.intercept)]
-        stats = zip(
-            estimates, map(float, summary.coefficientStandardErrors), map(float, summary.tValues),
-            map(float, summary.pValues),
-        )
-        by_term = dict(zip([*kept, "const"], stats))
+        by_term = {} if kept else {"const": _constant_only(frame, weight_col is not None)}
+        if kept:
+            sliced = VectorSlicer(inputCol="features", outputCol="terms", indices=kept).transform(frame)
+            options = {"weightCol": "_w"} if weight_col else {}
+            model = LinearRegression(
+                featuresCol="terms", labelCol="_y", solver="normal", regParam=0.0, **options
+            ).fit(sliced)
+            summary = model.summary
+            estimates = [*map(float, model.coefficients), float(model.intercept)]
+            stats = zip(
+                estimates, map(float, summary.coefficientStandardErrors), map(float, summary.tValues),
+                map(float, summary.pValues),
+            )
+            by_term = dict(zip([*kept, "const"], stats))
     finally:
-        design.unpersist()
+        frame.unpersist()
 
     def base(i: int):
         owner = max((c for c in bases if names[i].startswith(f"{c}_")), key=len, default=None)

@@ -69,25 +69,27 @@ def repair_month(
 
 
 def repair_months_in_sequence(
-    cube: DataFrame, plan: dict[str, list[str]], cut_every: int = 6, **options
+    cube: DataFrame, plan: dict[str, list[str]], **options
 ) -> dict[str, DataFrame]:
     """Repair months in order; a month repaired earlier enters later baselines in repaired form.
 
-    ``plan`` maps each month to its baseline months. Nothing runs here: the
-    result is one lazy plan per month. Long chains are cut by a checkpoint in the
-    shared folder of the session after every ``cut_every`` months.
+    ``plan`` maps each month to its baseline months. A month that a later one
+    uses is checkpointed in the session's shared folder, so each month is
+    repaired once and no plan holds another month's; the rest stay lazy.
     """
     from hirecube.session import checkpoint
 
     fixed: dict[str, DataFrame] = {}
+    order = list(plan)
     for done, (month, baseline_months) in enumerate(plan.items(), start=1):
+        later = {m for after in order[done:] for m in plan[after]}
         untouched = [m for m in baseline_months if m not in fixed]
         baseline = cube.where(F.col("data").isin(untouched))
         for earlier in baseline_months:
             if earlier in fixed:
                 baseline = baseline.unionByName(fixed[earlier])
         out = repair_month(cube.where(F.col("data") == month), baseline, **options)
-        fixed[month] = checkpoint(out) if done % cut_every == 0 else out
+        fixed[month] = checkpoint(out) if month in later else out
     return fixed
 
 

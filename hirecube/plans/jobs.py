@@ -72,9 +72,10 @@ def fit_models(
         table.write(regression.ols(regression.regression_groups(cube)))
 
     def projections() -> None:
-        rows = forecast.project_groups(cube, scenarios, quality=quality, **forecast_options)
+        rows, status = forecast.project_groups(cube, scenarios, quality=quality, with_status=True, **forecast_options)
         table = tables.VersionedTable(spark, f"{root}/projecoes_salariais")
         table.upsert(checkpoint(rows), tables.PROJECTION_KEYS)
+        tables.VersionedTable(spark, f"{root}/situacao_projecoes").upsert(checkpoint(status), forecast.SERIES_KEYS)
 
     outcome = {}
     for name, stage in (("coefficients", coefficients), ("projections", projections)):

@@ -87,12 +87,19 @@ def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CUBE_SCHEMA).parquet(path)
 
 
+def _only_missing(error: AnalysisException) -> None:
+    """Raise the error again unless it says that nothing is there."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def read_quality(spark: SparkSession, path: str) -> DataFrame:
     """Optional monthly weights; no file means no weights."""
     schema = "mes string, peso_qualidade double"
     try:
         found = spark.read.option("sep", ";").option("header", True).csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        _only_missing(error)
         return spark.createDataFrame([], schema)
     return found.select("mes", F.col("peso_qualidade").try_cast("double").alias("peso_qualidade"))
 
@@ -121,54 +128,71 @@ class VersionedTable:
     Each write goes to a new snapshot folder, and the pointer gets its line only
     after the write has succeeded. Readers never see half a table, a lost job
     leaves the old version in place, and every older version is a restore point.
+    A pointer line is a folder named by its version that must not exist yet, so of
+    two writers one gets an error. ``ultimo_lote`` is the last batch of a stream
+    that a version contains; writes that add no batch carry it on.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self) -> DataFrame:
-        schema = "versao bigint, pasta string"
+        schema = "pasta string, ultimo_lote bigint, versao bigint"
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/pointer")
-        except AnalysisException:
+        except AnalysisException as error:
+            _only_missing(error)
             return self.spark.createDataFrame([], schema)
 
     def versions(self) -> list[tuple[int, str]]:
-        return [tuple(r) for r in self._pointer().orderBy("versao").collect()]
+        return [tuple(r) for r in self._pointer().select("versao", "pasta").orderBy("versao").collect()]
 
     def current(self) -> tuple[int, str] | None:
         row = self._pointer().orderBy(F.desc("versao")).first()
         return None if row is None else (row["versao"], row["pasta"])
 
+    def last_batch(self, version: int | None = None) -> int | None:
+        """Last batch that the current version, or another one, contains."""
+        lines = self._pointer() if version is None else self._pointer().where(F.col("versao") == version)
+        row = lines.orderBy(F.desc("versao")).first()
+        return None if row is None else row["ultimo_lote"]
+
     def read(self, version: int | None = None, schema: str | None = None) -> DataFrame:
-        known = dict(self.versions())
-        if not known:
-            raise FileNotFoundError(f"no version under {self.root}")
-        folder = known[max(known) if version is None else version]
+        found = self.current() if version is None else self._pointer().where(
+            F.col("versao") == version).select("versao", "pasta").first()
+        if found is None:
+            raise FileNotFoundError(f"no version {'' if version is None else version} under {self.root}")
+        folder = found[1]
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.root}/{folder}")
 
-    def write(self, df: DataFrame, partition_by: str | None = None, version: int | None = None) -> int:
+    def write(self, df: DataFrame, partition_by: str | None = None, last_batch: int | None = None) -> int:
         last = self.current()
-        if version is None:
-            version = 1 if last is None else last[0] + 1
+        version = 1 if last is None else last[0] + 1
+        if last_batch is None and last is not None:
+            last_batch = self.last_batch(last[0])
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
         folder = f"v{version:06d}_{stamp}"
         writer = _partitioned(df, partition_by) if partition_by else df.write
         writer.mode("errorifexists").option("compression", "snappy").parquet(f"{self.root}/{folder}")
-        self._point(version, folder)
+        self._point(version, folder, last_batch)
         return version
 
     def restore(self, version: int) -> int:
-        """Make an older version current again."""
+        """Make an older version current again, with the batches that it contains."""
         folder = dict(self.versions())[version]
         new = self.current()[0] + 1
-        self._point(new, folder)
+        self._point(new, folder, self.last_batch(version))
         return new
 
-    def _point(self, version: int, folder: str) -> None:
-        line = self.spark.createDataFrame([(version, folder)], "versao bigint, pasta string")
-        line.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+    def _point(self, version: int, folder: str, last_batch: int | None) -> None:
+        line = self.spark.createDataFrame([(folder, last_batch)], "pasta string, ultimo_lote bigint")
+        try:
+            line.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/pointer/versao={version}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise RuntimeError(f"another writer has made version {version} of {self.root}") from error
 
     def upsert(self, new: DataFrame, keys: list[str], partition_by: str | None = None) -> int:
         return self.write(upserted(self.read(), new, keys) if self.current() else new, partition_by)

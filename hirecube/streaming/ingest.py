@@ -10,8 +10,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from hirecube.operators.clean import clean_movements, to_cube
 from hirecube.operators.cube import CUBE_SCHEMA, merge_cube
 from hirecube.session import checkpoint
-from hirecube.sources.raw import month_in_name, profile_files, split_lines
-from hirecube.sources.tables import VersionedTable, write_cube
+from hirecube.sources.raw import profile_files, split_lines
+from hirecube.sources.tables import VersionedTable, _only_missing, write_cube
 
 DELTA_SCHEMA = f"{CUBE_SCHEMA}, batch_id bigint"
 
@@ -20,8 +20,10 @@ class CubeStore:
     """A cube kept as one delta per micro-batch plus an occasional merged base.
 
     A batch overwrites its own ``batch_id`` folder, so a replayed batch replaces
-    itself instead of counting twice. Months may arrive late or in any order. The
-    version number of the base is the last batch it contains.
+    itself instead of counting twice. Months may arrive late or in any order. Each
+    version of the base names the last batch that it contains, so months of the
+    base may be repaired, replaced or restored between batches. All batches of a
+    store come from one ``progress`` folder.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -34,15 +36,17 @@ class CubeStore:
     def deltas(self) -> DataFrame:
         try:
             return self.spark.read.schema(DELTA_SCHEMA).parquet(f"{self.root}/deltas")
-        except AnalysisException:
+        except AnalysisException as error:
+            _only_missing(error)
             return self.spark.createDataFrame([], DELTA_SCHEMA)
 
+    def _contained(self) -> int:
+        last = self.base.last_batch()
+        return -1 if last is None else last
+
     def _parts(self) -> list[DataFrame]:
-        last = self.base.current()
-        fresh = self.deltas()
-        if last is None:
-            return [fresh.drop("batch_id")]
-        return [self.base.read(schema=CUBE_SCHEMA), fresh.where(F.col("batch_id") > last[0]).drop("batch_id")]
+        fresh = self.deltas().where(F.col("batch_id") > self._contained()).drop("batch_id")
+        return [fresh] if self.base.current() is None else [self.base.read(schema=CUBE_SCHEMA), fresh]
 
     def read(self, months: list[str] | None = None, snap: int | None = None) -> DataFrame:
         """The cube as of now. Months prune the partitions of the base and of every delta."""
@@ -54,14 +58,12 @@ class CubeStore:
     def compact(self) -> int | None:
         """Fold base and deltas into a new base; safe to repeat or to lose half-way."""
         newest = self.deltas().agg(F.max("batch_id")).first()[0]
-        last = self.base.current()
-        if newest is None or (last is not None and last[0] >= newest):
+        held = self._contained()
+        if newest is None or held >= newest:
             return None
         parts = self._parts()
-        parts[-1:] = [self.deltas().where(
-            (F.col("batch_id") <= newest) & (F.col("batch_id") > (-1 if last is None else last[0]))
-        ).drop("batch_id")]
-        return self.base.write(merge_cube(*parts), "data", version=newest)
+        parts[-1:] = [self.deltas().where((F.col("batch_id") <= newest) & (F.col("batch_id") > held)).drop("batch_id")]
+        return self.base.write(merge_cube(*parts), "data", last_batch=newest)
 
 
 def fold_lines(lines: DataFrame, **bounds) -> DataFrame:
@@ -83,8 +85,12 @@ def ingest_new_months(
 
     The streaming checkpoint in ``progress`` is the registry of files taken. A file
     never spans two batches, so the rule about a file's last row sees whole files.
+    ``months`` (``yyyymm``) takes the files with one of them in their name; the
+    others aren't touched, and a later run finds them however old they are by then.
     """
-    reader = spark.readStream.format("text").option("pathGlobFilter", glob)
+    if months:
+        glob = glob.replace("*", f"*{{{','.join(months)}}}*", 1)
+    reader = spark.readStream.format("text").option("pathGlobFilter", glob).option("maxFileAge", "36500d")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     lines = reader.load(source).select(
@@ -93,8 +99,6 @@ def ingest_new_months(
         F.col("_metadata.file_name").alias("nome"),
         "_metadata.file_block_start",
     )
-    if months:
-        lines = lines.where(month_in_name(F.col("nome"), months))
     cube_store = CubeStore(spark, store)
 
     def fold(batch: DataFrame, batch_id: int) -> None:

@@ -138,7 +138,7 @@ def test_flat_series_does_not_stop_the_others(spark):
     fits = fc.fit_seasonal_ar(ts.calendar_complete(data))
     short = frame(spark, {"9": [1.0] * 5})
     status = {r["grupo_codigo"]: r["status"] for r in fc.projection_status(data.unionByName(short), fits).collect()}
-    assert status == {"1": "no_model", "3": "ok", "9": "insufficient_history"}
+    assert status == {"1": "ok", "3": "ok", "9": "insufficient_history"}
 
 
 def test_min_history(spark):
@@ -172,3 +172,13 @@ def test_project_groups_end_to_end(spark, make_cube):
     for name in ("1", "MASC"):
         assert fc.projection_lookup(out, "geral", "brasil", "genero", [name]).count() == 35
     assert fc.projection_lookup(out, "geral", "brasil", "genero", []).count() == 0
+
+
+def test_flat_series_gets_its_exact_forecast(spark):
+    flat = frame(spark, {"1": np.full(36, 1500.0), "3": simulate(36, 2)})
+    fits = fc.fit_seasonal_ar(ts.calendar_complete(flat))
+    assert {r["grupo_codigo"] for r in fits.collect()} == {"1", "3"}
+    out = [r.asDict() for r in fc.forecast(fits.where("grupo_codigo = '1'"), 12).collect()]
+    assert len(out) == 12
+    numbers = [v for r in out for k, v in r.items() if isinstance(v, float)]
+    assert numbers and all(v == pytest.approx(1500.0) for v in numbers)

@@ -114,3 +114,15 @@ def test_effect_table(spark):
     assert set(vocab.REGRESSION_COLUMNS) == set(vocab.LABELS)
     genders = {r["codigo"]: r["base"] for r in reg.effect_table(coefs, "genero").collect()}
     assert genders == {"FEM": True, "MASC": False}
+
+
+@pytest.mark.parametrize("weight", [None, "n"])
+def test_constant_alone_where_no_term_can_be_fitted(sample, weight):
+    rows, df = sample
+    got = reg.ols(df, categories=["so"], numbers=[], weight_col=weight, details=True).collect()
+    y, w = np.log([r[4] for r in rows]), np.array([r[5] if weight else 1.0 for r in rows])
+    mean = float((w * y).sum() / w.sum())
+    error = math.sqrt(float((w * (y - mean) ** 2).sum()) / (len(y) - 1) / w.sum())
+    assert [r["variavel"] for r in got] == ["const"]
+    assert (got[0]["coeficiente"], got[0]["erro_padrao"], got[0]["t_valor"]) == pytest.approx((mean, error, mean / error))
+    assert got[0]["p_valor"] == pytest.approx(0.0, abs=1e-12)

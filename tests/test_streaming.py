@@ -1,3 +1,4 @@
+import pytest
 from conftest import rows_of
 from hirecube import vocab
 from hirecube.streaming.ingest import CubeStore, fold_lines, ingest_new_months
@@ -34,6 +35,44 @@ def test_runs_add_up_and_take_files_once(spark, tmp_path):
     assert rows_of(cube.read(["2021-07"]), "data") == [("2021-07",)]
 
 
+def test_months_leave_other_files_for_later(spark, tmp_path):
+    landing, store, progress = (tmp_path / n for n in ("landing", "store", "progress"))
+    landing.mkdir()
+    args = (spark, str(landing), str(store), str(progress))
+    write(landing, "MOV202101.txt", [line(month="202101")])
+    write(landing, "MOV202102.txt", [line(month="202102")])
+    ingest_new_months(*args, months=["202101"])
+    cube = CubeStore(spark, str(store))
+    assert rows_of(cube.read(), "data") == [("2021-01",)]
+    ingest_new_months(*args)
+    assert rows_of(cube.read(), "data") == [("2021-01",), ("2021-02",)]
+
+
+def test_repairs_and_restores_between_batches_lose_nothing(spark, tmp_path, make_cube):
+    cube = CubeStore(spark, str(tmp_path / "store"))
+    cube.put(make_cube([{"data": "2023-01"}]), 0)
+    cube.put(make_cube([{"data": "2023-02"}]), 1)
+    first = cube.compact()
+    cube.base.replace_months(make_cube([{"data": "2023-01", "soma_salario": 7.0}]), ["2023-01"])
+    cube.put(make_cube([{"data": "2023-03", "total_admissoes": 5}]), 2)
+    want = [("2023-01", 7.0, 1), ("2023-02", 1000.0, 1), ("2023-03", 1000.0, 5)]
+    assert rows_of(cube.read(), "data", "soma_salario", "total_admissoes") == want
+    assert cube.compact() is not None
+    assert rows_of(cube.read(), "data", "soma_salario", "total_admissoes") == want
+    # the first base holds batches 0 and 1 only, so batch 2 counts again beside it
+    cube.base.restore(first)
+    assert rows_of(cube.read(), "data", "soma_salario", "total_admissoes") == [("2023-01", 1000.0, 1), *want[1:]]
+    cube.put(make_cube([{"data": "2023-04"}]), 3)
+    assert [r[0] for r in rows_of(cube.read(), "data")] == ["2023-01", "2023-02", "2023-03", "2023-04"]
+
+
+def test_two_writers_of_one_version(spark, tmp_path, make_cube):
+    cube = CubeStore(spark, str(tmp_path / "store"))
+    cube.base.write(make_cube([{"data": "2023-01"}]), "data")
+    with pytest.raises(RuntimeError, match="another writer"):
+        cube.base._point(1, "other", None)
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path, make_cube):
     cube = CubeStore(spark, str(tmp_path / "store"))
     assert cube.read().count() == 0 and cube.compact() is None
