@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from hirecube.session import checkpoint
 
 K = 10
-SHIFT = 5
+SHIFT = 7
 BLOCK = 8192
 QUERY_BLOCK = 1024
-STEPS = 8
+STEPS = 4
+MAX_TASKS = 10_000  # pairs of blocks beyond share tasks
 SCALE = 1024
 
 
@@ -59,19 +60,20 @@ class Index:
         low = np.minimum(self.least * weight, self.most * weight)
         turn = np.argsort(-impact, kind="stable")
         n, dims = self.rows.shape
-        upper = np.full(n, np.maximum(self.least * weight, self.most * weight).sum(), np.int64)
-        lower = np.full(n, low.sum(), np.int64)
+        taken = np.full(n, np.maximum(self.least * weight, self.most * weight).sum(), np.int64)
+        first, last = [0] * dims, [0] * dims  # a dimension's segments are taken from one end, so they are one run
         top = np.maximum(self.least * weight, self.most * weight)
         frontier, seen = top.copy(), np.zeros((n, dims), bool)
         possible = np.arange(n)
         for step in np.array_split(turn, steps):
-            for s in step:
+            for s in step.tolist():
                 d, _, a, b = self.segments[s]
-                who = self.order[a:b, d]
-                upper[who] += impact[s] - top[d]
-                lower[who] += impact[s] - low[d]
-                seen[who, d] = True
+                taken[self.order[a:b, d]] += impact[s] - top[d]
                 frontier[d] = impact[s]
+                first[d], last[d] = (min(first[d], a), max(last[d], b)) if last[d] else (a, b)
+            for d in np.flatnonzero(last).tolist():
+                seen[self.order[first[d]:last[d], d], d] = True
+            upper, lower = taken, taken - ~seen @ (top - low)
             # unseen postings of a dimension have at most the impact of the last segment taken
             bound = upper - (~seen @ (top - frontier)) + slack[1]
             sure = lower + slack[0]
@@ -112,9 +114,10 @@ def top_k(
     rows = checkpoint(
         vectors.select(F.col(vec_id).cast("long").alias("id"), integers(F.col(vector)).alias("x"), chosen.alias("asks"))
         .where("id is not null and x is not null").withColumn("row", F.monotonically_increasing_id()))
-    sides, _ = blocks(rows, block, "side")
+    sides, n_sides = blocks(rows, block, "side")
     asked, n_asked = blocks(rows.where("asks"), query_block, "q")
-    pairs = sides.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).repartition("q", "side").join(asked, "q")
+    pairs = sides.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).join(asked, "q")
+    pairs = pairs.repartition(min(n_sides * n_asked, MAX_TASKS), "q", "side")
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def packed(items) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
