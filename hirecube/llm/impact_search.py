@@ -5,8 +5,9 @@ holds, per dimension, postings sorted by value and cut into segments of equal
 quantised impact (``value >> shift``). A query takes the segments of all
 dimensions by descending impact, adds the quantised impact to its accumulators,
 and stops when the bounds prove that all but a few vectors cannot be among its
-best; those few are scored exactly. Where no such proof comes, all segments are
-processed, so the answer is exact either way.
+best: postings not met have at most the next segment's impact, and exact scores
+of likely vectors give the floor. Those few are scored exactly. Where no such
+proof comes, all segments are processed, so the answer is exact either way.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from hirecube.session import checkpoint
 
 K = 10
-SHIFT = 7
+SHIFT = 3
 BLOCK = 8192
 QUERY_BLOCK = 1024
 STEPS = 4
@@ -41,48 +42,51 @@ class Index:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, shift: int = SHIFT):
         self.ids, self.rows, self.shift = ids, rows, shift
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        quant = np.take_along_axis(rows, self.order, 0) >> shift
-        self.segments = []  # (dimension, quantised value, first, last)
-        for d in range(rows.shape[1]):
-            cut = np.flatnonzero(np.r_[True, quant[1:, d] != quant[:-1, d], True])
-            self.segments += [(d, int(quant[a, d]), int(a), int(b)) for a, b in zip(cut[:-1], cut[1:])]
-        self.dim = np.array([s[0] for s in self.segments], np.int64)
-        self.value = np.array([s[1] for s in self.segments], np.int64)
-        self.least = np.array([self.value[self.dim == d].min() for d in range(rows.shape[1])], np.int64)
-        self.most = np.array([self.value[self.dim == d].max() for d in range(rows.shape[1])], np.int64)
-
-    def search(self, query: np.ndarray, own: int | None, k: int, floor: int | None = None, steps: int = STEPS):
-        """The best ``k`` (score, id) of the block; vectors that cannot reach ``floor`` may be left out."""
+        self.order = np.argsort(rows.T, axis=1, kind="stable")  # a row of row numbers per dimension
+        self.quant = np.take_along_axis(rows.T, self.order, 1) >> shift
+        self.segments = []  # (dimension, quantised value, first); a dimension's segments follow one another
+        for d, values in enumerate(self.quant):
+            starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            self.segments += [(d, int(values[a]), int(a)) for a in starts]
+        self.dim, self.value, self.first = (np.array(c, np.int64) for c in zip(*self.segments))
+        self.per_dim = np.bincount(self.dim, minlength=rows.shape[1])
+        self.offset = np.r_[0, np.cumsum(self.per_dim)]  # of each dimension's segments
+        self.ends = np.r_[self.first[1:], 0]
+        self.ends[self.offset[1:] - 1] = len(rows)
+
+    def search(self, query: np.ndarray, own: int | None, k: int, steps: int = STEPS):
+        """The best ``k`` (score, id) of the block."""
         weight = query << self.shift
         impact = self.value * weight[self.dim]  # of a posting in the segment, but for what the quantising cut off
-        slack = np.array([query[query < 0].sum(), query[query > 0].sum()], np.int64) * ((1 << self.shift) - 1)
-        low = np.minimum(self.least * weight, self.most * weight)
+        slack = int(query[query > 0].sum()) * ((1 << self.shift) - 1)  # the most that it cut off in all
         turn = np.argsort(-impact, kind="stable")
         n, dims = self.rows.shape
-        taken = np.full(n, np.maximum(self.least * weight, self.most * weight).sum(), np.int64)
-        first, last = [0] * dims, [0] * dims  # a dimension's segments are taken from one end, so they are one run
-        top = np.maximum(self.least * weight, self.most * weight)
-        frontier, seen = top.copy(), np.zeros((n, dims), bool)
-        possible = np.arange(n)
-        for step in np.array_split(turn, steps):
-            for s in step.tolist():
-                d, _, a, b = self.segments[s]
-                taken[self.order[a:b, d]] += impact[s] - top[d]
-                frontier[d] = impact[s]
-                first[d], last[d] = (min(first[d], a), max(last[d], b)) if last[d] else (a, b)
-            for d in np.flatnonzero(last).tolist():
-                seen[self.order[first[d]:last[d], d], d] = True
-            upper, lower = taken, taken - ~seen @ (top - low)
-            # unseen postings of a dimension have at most the impact of the last segment taken
-            bound = upper - (~seen @ (top - frontier)) + slack[1]
-            sure = lower + slack[0]
-            mine = self.ids != own if own is not None else np.ones(n, bool)
-            held = sure[mine]
-            limit = np.partition(held, len(held) - k)[len(held) - k] if len(held) > k else None
-            if floor is not None:
-                limit = floor if limit is None else max(limit, floor)
-            possible = np.flatnonzero(mine & (bound >= limit)) if limit is not None else np.flatnonzero(mine)
+        total, count = np.zeros(n, np.int64), np.zeros(n, np.int64)  # impact and number of the postings met
+        mine = self.ids != own if own is not None else np.ones(n, bool)
+        possible, done = np.flatnonzero(mine), np.zeros(dims, np.int64)
+        probe = min(4 * k, len(possible))
+        if len(possible) <= k:
+            steps = 0
+        for at in range(steps):
+            last = len(turn) * (at + 1) // steps
+            now = done + np.bincount(self.dim[turn[len(turn) * at // steps:last]], minlength=dims)
+            for d in np.flatnonzero(now > done):
+                # segments leave a dimension from one end, so those of a step are one run
+                s, e = (self.per_dim[d] - now[d], self.per_dim[d] - done[d]) if weight[d] > 0 else (done[d], now[d])
+                run = slice(self.first[self.offset[d] + s], self.ends[self.offset[d] + e - 1])
+                met = self.order[d, run]
+                total[met] += self.quant[d, run] * weight[d]
+                count[met] += 1
+            done = now
+            # postings not met yet have at most the impact of the next segment
+            bound = total + slack
+            if last < len(turn):
+                bound += (dims - count) * impact[turn[last]]
+            bound = bound[mine]
+            # the k-th exact score of some likely ones is a floor for the k best
+            likely = np.flatnonzero(mine)[np.argpartition(-bound, probe - 1)[:probe]]
+            floor = np.partition(self.rows[likely] @ query, probe - k)[probe - k]
+            possible = np.flatnonzero(mine)[bound >= floor]
             if len(possible) <= max(4 * k, n // 32):
                 break
         score = self.rows[possible] @ query
