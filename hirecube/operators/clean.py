@@ -80,3 +80,8 @@ def file_audit(profile: DataFrame) -> DataFrame:
         .when(F.size("missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")))
     )
     return profile.select("arquivo", "encoding", "accepted", reason.alias("motivo"), "data_lines", "long_lines")
+
+
+def outcome_of_ingest(profile: DataFrame, raw: DataFrame) -> DataFrame:
+    """Per file: taken or why not, and what became of its rows; rejected files have no counts."""
+    return file_audit(profile).join(ingest_audit(raw), "arquivo", "left")

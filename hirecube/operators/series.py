@@ -50,28 +50,23 @@ def _memberships(scenarios) -> Column:
 def group_series(cube: DataFrame, scenarios=None, dimensions=None, snap: int | None = None) -> DataFrame:
     """Sums per month for every scenario x dimension x known code.
 
-    The cube is first folded to month x profile (x the places that scenarios
-    ask for). Only that much smaller table is repeated per scenario and dimension.
+    Places become the scenarios they belong to before the cube is folded, so the
+    fold's keys are month, profile and scenarios, however fine the places are. Only
+    that much smaller table is repeated per scenario and dimension.
     """
     scenarios = COUNTRY if scenarios is None else scenarios
     dimensions = PROJECTED_DIMS if dimensions is None else dimensions
-    kinds = {k for k, _ in scenarios}
     rows = positive_weight(cube, salary_too=True)
-    places = []
-    if "regiao" in kinds:
+    if any(k == "regiao" for k, _ in scenarios):
         rows = rows.withColumn("regiao", dims.region(F.col("municipio")))
-        places.append("regiao")
-    if "municipio" in kinds:
-        places.append("municipio")
-    if "cnae" in kinds:
-        places.append("cnae20subclasse")
+    rows = rows.withColumn("_cenarios", _memberships(scenarios))
 
     def sums(df: DataFrame, by: list[str]) -> DataFrame:
         return df.groupBy(*by).agg(
             total("soma_salario", snap).alias("soma_salario"), F.sum("total_admissoes").alias("total_admissoes")
         )
 
-    profile = sums(rows, ["data", *dimensions, *places])
+    profile = sums(rows, ["data", *dimensions, "_cenarios"])
     groups = F.filter(
         F.array(*[
             F.when(
@@ -83,7 +78,7 @@ def group_series(cube: DataFrame, scenarios=None, dimensions=None, snap: int | N
     )
     base = ["data", "soma_salario", "total_admissoes"]
     # the outer form keeps Catalyst from inferring "array not empty" and testing it on every cube row
-    spread = profile.select(*base, groups.alias("g"), F.inline_outer(_memberships(scenarios)))
+    spread = profile.select(*base, groups.alias("g"), F.inline_outer("_cenarios"))
     spread = spread.select(*base, "filtro_tipo", "filtro_valor", F.inline_outer("g")).where(
         F.col("filtro_tipo").isNotNull() & F.col("grupo_codigo").isNotNull()
     )

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirecube import vocab
 from hirecube.operators import forecast, history, means, regression, repair, reshape
-from hirecube.operators.clean import clean_movements, to_cube
+from hirecube.operators.clean import clean_movements, outcome_of_ingest, to_cube
 from hirecube.operators.cube import merge_cube
 from hirecube.operators.filters import positive_weight
 from hirecube.session import checkpoint
 from hirecube.sources import charts, tables
-from hirecube.sources.raw import read_movements
+from hirecube.sources.raw import profile_files, raw_lines, split_lines
 
 log = logging.getLogger(__name__)
 
@@ -28,9 +28,19 @@ def ingest(
     clean_path: str | None = None,
     months: list[str] | None = None,
     glob: str = "*.txt",
+    audit_path: str | None = None,
 ) -> None:
-    """Raw files -> (clean data set ->) cube. With a clean data set the text is parsed once."""
-    clean = clean_movements(read_movements(spark, source, months, glob))
+    """Raw files -> (clean data set ->) cube. With a clean data set the text is parsed once.
+
+    ``audit_path`` gets one row per file, rejected files included, for one more
+    pass over the text.
+    """
+    lines = raw_lines(spark, source, months, glob)
+    profile = checkpoint(profile_files(lines))
+    raw = split_lines(lines, profile)
+    if audit_path is not None:
+        outcome_of_ingest(profile, raw).write.mode("overwrite").parquet(audit_path)
+    clean = clean_movements(raw)
     if clean_path is None:
         tables.write_cube(to_cube(clean), cube_path)
         return

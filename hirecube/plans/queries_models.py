@@ -158,6 +158,11 @@ def _group_series_scenarios(spark, sf):
     return ts.group_series(b.rows(spark, sf), scenarios, snap=2)
 
 
+@register("group_series_every_municipality", b.with_sql(_series_sql("true", "municipio", "municipio")))
+def _group_series_municipalities(spark, sf):
+    return ts.group_series(b.rows(spark, sf), [("municipio", ts.ALL)], snap=2)
+
+
 @register("salary_series_with_quality", b.with_sql("""
 SELECT filtro_tipo, filtro_valor, grupo_tipo, grupo_codigo, data, t, media_salario FROM s
 LEFT JOIN q ON s.data = q.mes WHERE coalesce(peso_qualidade, 1.0) >= 0.6

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from hirecube.operators.clean import clean_movements, to_cube
+from hirecube.operators.clean import clean_movements, outcome_of_ingest, to_cube
 from hirecube.operators.cube import CUBE_SCHEMA, merge_cube
 from hirecube.session import checkpoint
 from hirecube.sources.raw import profile_files, split_lines
@@ -33,6 +33,13 @@ class CubeStore:
     def put(self, delta: DataFrame, batch_id: int) -> None:
         write_cube(delta, f"{self.root}/deltas/batch_id={batch_id}")
 
+    def put_audit(self, outcome: DataFrame, batch_id: int) -> None:
+        outcome.write.mode("overwrite").parquet(f"{self.root}/audit/batch_id={batch_id}")
+
+    def audit(self) -> DataFrame:
+        """One row per file taken from the source so far, rejected files included."""
+        return self.spark.read.parquet(f"{self.root}/audit")
+
     def deltas(self) -> DataFrame:
         try:
             return self.spark.read.schema(DELTA_SCHEMA).parquet(f"{self.root}/deltas")
@@ -66,9 +73,10 @@ class CubeStore:
         return self.base.write(merge_cube(*parts), "data", last_batch=newest)
 
 
-def fold_lines(lines: DataFrame, **bounds) -> DataFrame:
+def fold_lines(lines: DataFrame, profile: DataFrame | None = None, **bounds) -> DataFrame:
     """Lines of whole files -> cube."""
-    return to_cube(clean_movements(split_lines(lines, checkpoint(profile_files(lines)))), **bounds)
+    known = checkpoint(profile_files(lines)) if profile is None else profile
+    return to_cube(clean_movements(split_lines(lines, known)), **bounds)
 
 
 def ingest_new_months(
@@ -102,7 +110,10 @@ def ingest_new_months(
     cube_store = CubeStore(spark, store)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        cube_store.put(fold_lines(batch.drop("nome"), **bounds), batch_id)
+        whole = batch.drop("nome")
+        profile = checkpoint(profile_files(whole))
+        cube_store.put_audit(outcome_of_ingest(profile, split_lines(whole, profile)), batch_id)
+        cube_store.put(fold_lines(whole, profile, **bounds), batch_id)
 
     query = (
         lines.writeStream.foreachBatch(fold)

@@ -158,6 +158,14 @@ def test_group_series_scenarios(make_cube):
     }
 
 
+def test_series_fold_by_scenario_not_by_place(make_cube):
+    cube = make_cube([{"municipio": "130000"}])
+    out = ts.group_series(cube, [("geral", "brasil"), ("municipio", "130000"), ("cnae", "4")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    keys = plan.split("Aggregate [")[2].split("]")[0]
+    assert "_cenarios" in keys and "municipio" not in keys and "cnae20subclasse" not in keys
+
+
 def test_project_groups_end_to_end(spark, make_cube):
     values = simulate(30, 8)
     rows = [{"data": f"{2020 + i // 12}-{i % 12 + 1:02d}", "soma_salario": float(v) * 10, "total_admissoes": 10}

@@ -3,6 +3,7 @@ import json
 from conftest import rows_of
 from hirecube.plans import jobs
 from hirecube.sources import tables
+from hirecube.streaming.ingest import CubeStore, ingest_new_months
 from test_raw import line, write
 
 
@@ -20,6 +21,20 @@ def test_ingest_with_and_without_clean_data(spark, tmp_path):
     assert tables.read_cube(spark, str(tmp_path / "one")).count() == 1
 
 
+def test_ingest_lists_rejected_files(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    write(landing, "MOV202105.txt", [line(), line(kind="31")], "cp1252")
+    (landing / "MOV202106.txt").write_text("a;b\n1;2\n")
+    audit = str(tmp_path / "audit")
+    jobs.ingest(spark, str(landing), str(tmp_path / "cube"), audit_path=audit)
+    batches = ingest_new_months(spark, str(landing), str(tmp_path / "store"), str(tmp_path / "progress"))
+    assert batches.exception() is None
+    for found in (spark.read.parquet(audit), CubeStore(spark, str(tmp_path / "store")).audit()):
+        got = {r["arquivo"][-10:]: (r["accepted"], r["motivo"], r["linhas"], r["no_cubo"]) for r in found.collect()}
+        assert got == {"202105.txt": (True, None, 2, 1), "202106.txt": (False, "header not recognised", None, None)}
+
+
 def cube_of(make_cube, months=26):
     rows = []
     for i in range(months):
