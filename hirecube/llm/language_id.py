@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +31,8 @@ ROWS = 128
 
 def presence(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """``(first row, presence of every bucket)`` for groups of at most ``ROWS`` rows."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     shift = words.U64(64 - int(BUCKETS).bit_length() + 1)
-    for at, data, offsets in words.chunks(texts):
+    for at, data, offsets in words.lower_chunks(texts):
         wide = data.astype(np.uint32)
         grams = []
         for n in LENGTHS:
@@ -74,7 +72,8 @@ class Classifier:
 
         def unit(some) -> np.ndarray:
             x = np.stack([np.unpackbits(rows[i], count=BUCKETS) for i in some]).astype(np.float32)
-            return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+            x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+            return x
 
         marks = unit(chosen)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -128,11 +127,12 @@ def predict(docs: DataFrame, model: Classifier, keep: list[str], text: str = "te
     names = kept.names
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"]
     classes = np.array([*model.classes, UNDETERMINED], object)
+    source = text if text in names else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for many in batches:
             letters = many.column("_letters").to_numpy(zero_copy_only=False)
-            for first, out in presence(many.column("_text")):
+            for first, out in presence(many.column(source)):
                 n = len(out)
                 known = letters[first:first + n].astype(bool) & bool(model.classes)
                 best, part = np.full(n, len(classes) - 1), np.zeros(n)
@@ -143,7 +143,9 @@ def predict(docs: DataFrame, model: Classifier, keep: list[str], text: str = "te
                     names=[*names, "lang_pred", "score"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, F.col(text).alias("_text"), letters.alias("_letters")).mapInArrow(run, ", ".join(kinds))
+    # a text that is kept is sent once
+    more = [] if source == text else [F.col(text).alias(source)]
+    return docs.select(*keep, *more, letters.alias("_letters")).mapInArrow(run, ", ".join(kinds))
 
 
 def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

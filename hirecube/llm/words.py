@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 20) - 1  # with the place after the last byte, a power of two
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -77,6 +77,14 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
             first = last
 
 
+def lower_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``chunks`` in lower case, with one chunk's copy in memory at a time."""
+    for first, _, offsets in chunks(texts):
+        part = pc.utf8_lower(pc.fill_null(texts.slice(first, len(offsets) - 1).cast(pa.large_string()), ""))
+        for at, data, own in chunks(part, 1 << 62):
+            yield first + at, data, own
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all runs without ``gaps``, and for each row the number of runs before it (one entry more than rows)."""
     inside = ~gaps[data]
