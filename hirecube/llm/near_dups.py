@@ -126,12 +126,14 @@ def alike(a: Column, b: Column, percent: int = SIMILARITY) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of the edges ``a, b``; ``comp`` names the connected component."""
     edges = checkpoint(edges.select("a", "b"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    named = both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node"))
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    named = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = checkpoint(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
-        named = checkpoint(
+        # the first round hooks every node itself, later ones what it has become
+        named = hook.select(F.col("a").alias("node"), F.col("to").alias("comp")) if named is None else checkpoint(
             named.join(hook, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
         x, y = hook.select("a", F.col("to").alias("x")), hook.select(F.col("a").alias("b"), F.col("to").alias("y"))
         edges = checkpoint(
@@ -184,11 +186,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     more = l.join(
         r, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp"))
         & (~F.col("r.outside") | (F.col("l.node") < F.col("r.node"))) & alike(F.col("l.shingles"), F.col("r.shingles"), percent),
-    ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    named = components(links.unionByName(more))
+    ).select(F.least("l.comp", "r.comp").alias("a"), F.greatest("l.comp", "r.comp").alias("b")).distinct()
+    # the new links join components that are whole already
+    joined = components(more).withColumnRenamed("comp", "to").withColumnRenamed("node", "comp")
 
-    whole = checkpoint(classes.select("node", "first").join(named, "node", "left").select(
-        "node", "first", F.coalesce("comp", "node").alias("comp")))
+    whole = checkpoint(
+        classes.select("node", "first").join(named, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
+        .join(joined, "comp", "left").select("node", "first", F.coalesce("to", "comp").alias("comp")))
     first = whole.groupBy("comp").agg(F.min("first").alias("best"))
     of_node = checkpoint(whole.join(first, "comp").select("node", "best"))
     full = signed.where("n > 0").join(of_node, "node").select(
