@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirecube.llm import language_id, mixing, near_dups, packing, toxicity
-from hirecube.session import scratch_path
+from hirecube.session import checkpoint, scratch_path
 
 MIN_LANGUAGE_SCORE = 0.25  # a certain text of four languages scores near 1, one that says nothing 0.25
 #: One stage trains on samples and another hashes in numpy: no SQL for the rows. Tests compare the stages with plain versions.
@@ -38,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    found = near_dups.near_duplicates(docs).where("stays").groupBy("doc_id", "text_hash").count()
+    found = checkpoint(near_dups.near_duplicates(docs).where("stays").groupBy("doc_id", "text_hash").count())
     marked = docs.withColumn("_h", F.xxhash64("text"))
     match = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("_h") == F.col("f.text_hash"))
 
@@ -46,8 +46,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return marked.alias("d").join(rows.alias("f"), match, "left_semi")
 
     # the same id and text may stand in several rows; such rows alone are merged
-    once = among(found.where("count = 1"))
-    merged = among(found.where("count > 1")).dropDuplicates(["doc_id", "_h"])
+    once, repeated = among(found.where("count = 1")), found.where("count > 1")
+    if repeated.isEmpty():
+        return once.select(*docs.columns)
+    merged = among(repeated).dropDuplicates(["doc_id", "_h"])
     return once.unionByName(merged).select(*docs.columns)
 
 
