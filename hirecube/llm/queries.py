@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirecube.llm import fingerprints, impact_search, kneser_ney, language_id, mixing, near_dups, packing, token_counts, token_files, toxicity
+from hirecube.llm import decontamination, fingerprints, impact_search, kneser_ney, language_id, mixing, near_dups, packing, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(5) == 0)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_near_duplicates, op3_token_files, op4_language_id, op5_fingerprints, op6_exact_top_k, op7_pack_windows, op8_token_counts, op9_mix_sources, op10_toxicity,
+    op12_decontamination,
 )}
 
 OP6_SQL = """
@@ -94,4 +99,31 @@ WITH RECURSIVE w AS (
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
 
-ORACLE_SQL = {"op2_near_duplicates": OP2_SQL, "op6_exact_top_k": OP6_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS l, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), ls AS (SELECT DISTINCT l FROM win
+), occ AS (
+  SELECT x.doc_id, x.i, x.l, win.item_id
+  FROM (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS g
+        FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l)) x
+  JOIN win ON win.l = x.l AND win.g = x.g
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM occ) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, sha256(array_to_string(list_sort(list(CAST(item_id AS VARCHAR))), ',')) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
+  coalesce(it.items_sha256, sha256('')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op2_near_duplicates": OP2_SQL, "op6_exact_top_k": OP6_SQL, "op12_decontamination": OP12_SQL}
