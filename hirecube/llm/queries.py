@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirecube.llm import decontamination, fingerprints, resampling, impact_search, kneser_ney, language_id, mixing, near_dups, packing, token_counts, token_files, toxicity
+from hirecube.llm import alignment, decontamination, fingerprints, resampling, impact_search, kneser_ney, language_id, mixing, near_dups, packing, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,13 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_near_duplicates, op3_token_files, op4_language_id, op5_fingerprints, op6_exact_top_k, op7_pack_windows, op8_token_counts, op9_mix_sources, op10_toxicity,
-    op11_resampling, op12_decontamination,
+    op11_resampling, op12_decontamination, op13_alignment,
 )}
 
 OP6_SQL = """
