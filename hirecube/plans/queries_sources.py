@@ -123,6 +123,17 @@ def _replace_months(spark, sf):
     return _summary(table.read(schema=cubes.CUBE_SCHEMA))
 
 
+@register("restore_before_replace", b.with_sql(SUMMARY, b.cube_sql()))
+def _restore(spark, sf):
+    """A month replaced by its manifest, then the first version made current again: the cube as first written."""
+    table = tables.VersionedTable(spark, scratch_path(spark, "restore"))
+    table.write(b.cube(spark, sf), "data")
+    fixed = table.read(schema=cubes.CUBE_SCHEMA).where("data = '1998-08'").withColumn("soma_salario", F.col("soma_salario") * 2)
+    table.replace_months(fixed, ["1998-08"])
+    table.restore(1)
+    return _summary(table.read(schema=cubes.CUBE_SCHEMA))
+
+
 @register("upsert_by_key", b.with_sql("""
 SELECT genero, raca_cor, CAST(sum(total_admissoes) AS BIGINT) AS n, 'velho' AS origem FROM cube_rows
 WHERE genero <> '3' GROUP BY ALL

@@ -119,3 +119,41 @@ def test_payload_is_valid_json(spark, tmp_path):
 
 def test_output_names_cover_clean_schema(spark):
     assert clean_rows(spark).columns == list(cl.OUTPUT_NAMES.values())
+
+
+def _files(root):
+    return {str(p.relative_to(root)) for p in root.rglob("*.parquet") if "/store/" in str(p)}
+
+
+def test_replacing_a_month_writes_only_its_folders(spark, tmp_path, make_cube):
+    table = tables.VersionedTable(spark, str(tmp_path / "m"))
+    table.write(make_cube([{"data": m} for m in ("2023-01", "2023-02", "2023-03")]), "data")
+    before = _files(tmp_path / "m")
+    table.replace_months(make_cube([{"data": "2023-02", "soma_salario": 5.0}]), ["2023-02"])
+    added = _files(tmp_path / "m") - before
+    assert before <= _files(tmp_path / "m") and added and all("data=2023-02/" in f for f in added)
+    read = lambda v=None: rows_of(table.read(v, schema=cubes.CUBE_SCHEMA), "data", "soma_salario")
+    assert read() == [("2023-01", 1000.0), ("2023-02", 5.0), ("2023-03", 1000.0)]
+    assert read(1) == [("2023-01", 1000.0), ("2023-02", 1000.0), ("2023-03", 1000.0)]
+    assert [v for v, _ in table.manifest()] == ["2023-01", "2023-02", "2023-03"]
+    gone = table.collect_unused(keep=1)
+    assert len(gone) == 1 and gone[0].startswith("data=2023-02/lote=w000001")
+    assert read() == [("2023-01", 1000.0), ("2023-02", 5.0), ("2023-03", 1000.0)]
+
+
+def test_upsert_rewrites_only_the_values_it_holds(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "p"))
+    schema = "k string, v int, part string"
+    table.write(spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 3, "y")], schema), "part")
+    before = _files(tmp_path / "p")
+    table.upsert(spark.createDataFrame([("a", 9, "x"), ("d", 4, "x")], schema), ["part", "k"])
+    added = _files(tmp_path / "p") - before
+    assert added and all("part=x/" in f for f in added)
+    assert rows_of(table.read(), "k", "v", "part") == [("a", 9, "x"), ("b", 2, "x"), ("c", 3, "y"), ("d", 4, "x")]
+    assert rows_of(table.read(1), "k", "v") == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_empty_partitioned_version_keeps_its_schema(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "e"))
+    table.write(spark.createDataFrame([], "k string, part string"), "part")
+    assert table.read().count() == 0 and table.read().columns == ["k", "part"]
