@@ -38,18 +38,18 @@ def _parsed(raw: DataFrame) -> DataFrame:
     return select_once(named, *[parsed.get(c, F.col(c)).alias(c) for c in named.columns])
 
 
-def clean_movements(raw: DataFrame) -> DataFrame:
-    """Admissions with a readable salary and age."""
+def clean_movements(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Admissions with a readable salary and age; ``keep`` names columns of ``raw`` carried along."""
     admissions = only_admissions(raw, "tipomovimentação")
-    return require(_parsed(admissions), ["salario", "idade"]).select(*OUTPUT_NAMES.values())
+    return require(_parsed(admissions), ["salario", "idade"]).select(*OUTPUT_NAMES.values(), *keep)
 
 
-def to_cube(clean: DataFrame, **bounds):
-    """Quality bounds, month, cube."""
+def to_cube(clean: DataFrame, keys: list[str] | None = None, **bounds):
+    """Quality bounds, month, cube (by ``keys``, the cube's own by default)."""
     rows = quality_bounds(clean, **bounds).withColumn("data", month_of(F.col("competencia_mov")))
     rows = rows.where(F.col("data").isNotNull())
     code = F.coalesce(F.col(vocab.DISABILITY), F.lit(vocab.NULL_KEY))
-    return build_cube(rows.withColumn(vocab.DISABILITY, code))
+    return build_cube(rows.withColumn(vocab.DISABILITY, code), keys)
 
 
 def ingest_audit(raw: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def with_disability(
     return df.withColumn(vocab.DISABILITY, F.lit(default))
 
 
-def cube_rows(clean: DataFrame, month: str = "data", null_key: str = vocab.NULL_KEY) -> DataFrame:
+def cube_rows(clean: DataFrame, month: str = "data", null_key: str = vocab.NULL_KEY, more: tuple[str, ...] = ()) -> DataFrame:
     """Each clean movement as a cube row of weight one.
 
     Sums and counts are additive, so a query that only adds gets the same answer
@@ -43,8 +43,9 @@ def cube_rows(clean: DataFrame, month: str = "data", null_key: str = vocab.NULL_
         F.col(month).alias("data") if k == "data" else key_text(F.col(f"`{k}`"), null_key).alias(k)
         for k in vocab.CUBE_KEYS
     ]
+    extra = [c for c in clean.columns if c in set(more)]
     return clean.select(
-        *keys,
+        *keys, *extra,
         F.col("salario").cast("double").alias("soma_salario"),
         F.col("idade").cast("double").alias("soma_idade"),
         F.lit(1).cast("bigint").alias("total_admissoes"),
@@ -64,7 +65,8 @@ def merge_cube(*parts: DataFrame, keys: list[str] | None = None, snap: int | Non
 
 def build_cube(clean: DataFrame, keys: list[str] | None = None, snap: int | None = None) -> DataFrame:
     """Clean movements folded to one row per key: one shuffle, with map-side partial sums."""
-    return merge_cube(cube_rows(clean), keys=keys, snap=snap)
+    more = tuple(k for k in keys or () if k not in vocab.CUBE_KEYS)
+    return merge_cube(cube_rows(clean, more=more), keys=keys, snap=snap)
 
 
 def empty_cube(spark: SparkSession) -> DataFrame:

@@ -163,6 +163,21 @@ def _stream(spark, sf):
     return _summary(kept.read())
 
 
+@register("ingest_with_two_progress_folders", b.with_sql(SUMMARY, ADMITTED_SQL, ADMITTED_CUBE_SQL))
+def _two_progress(spark, sf):
+    """The second run has a progress folder of its own and a third run goes back to the first: the store's ledger
+    takes each file once, so the cube is that of all files."""
+    source, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
+    moves = b.movements(spark, sf)
+    write_raw(moves.where("competencia_mov < '199807'"), source)
+    first = scratch_path(spark, "progress")
+    ingest_new_months(spark, source, store, first, glob="*.csv")
+    write_raw(moves.where("competencia_mov >= '199807'"), source)
+    ingest_new_months(spark, source, store, scratch_path(spark, "progress"), glob="*.csv")
+    ingest_new_months(spark, source, store, first, glob="*.csv")
+    return _summary(CubeStore(spark, store).read())
+
+
 @register("read_quality_weights", b.with_sql("""
 SELECT data AS mes, (count(*) % 10) / CAST(10 AS DOUBLE) AS peso_qualidade FROM cube_rows GROUP BY data
 """))

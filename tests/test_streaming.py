@@ -86,3 +86,34 @@ def test_replayed_batch_replaces_itself(spark, tmp_path, make_cube):
     assert rows_of(cube.read(), "soma_salario", "total_admissoes") == [(2000.0, 2)]
     cube.put(delta, 2)
     assert rows_of(cube.read(), "soma_salario", "total_admissoes") == [(3000.0, 3)]
+
+
+def test_two_progress_folders_lose_and_double_nothing(spark, tmp_path):
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+    landing.mkdir()
+    write(landing, "MOV202101.txt", [line(month="202101")])
+    ingest_new_months(spark, str(landing), store, str(tmp_path / "p1"))
+    write(landing, "MOV202102.txt", [line(month="202102")])
+    ingest_new_months(spark, str(landing), store, str(tmp_path / "p2"))
+    cube = CubeStore(spark, store)
+    assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-01", 1), ("2021-02", 1)]
+    ingest_new_months(spark, str(landing), store, str(tmp_path / "p1"))
+    assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-01", 1), ("2021-02", 1)]
+    assert rows_of(cube.ledger(), "arquivo", "batch_id")[-1][1] == 1
+
+
+def test_reissued_file_replaces_its_own_delta(spark, tmp_path):
+    import os
+    landing, store, progress = tmp_path / "landing", str(tmp_path / "store"), str(tmp_path / "p")
+    landing.mkdir()
+    write(landing, "MOV202103.txt", [line(month="202103"), line(month="202103")])
+    write(landing, "MOV202104.txt", [line(month="202104")])
+    ingest_new_months(spark, str(landing), store, progress)
+    cube = CubeStore(spark, store)
+    assert cube.compact() is not None
+    write(landing, "MOV202103.txt", [line(month="202103")])
+    os.utime(landing / "MOV202103.txt", (2_000_000_000, 2_000_000_000))
+    ingest_new_months(spark, str(landing), store, str(tmp_path / "other"))
+    assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-03", 1), ("2021-04", 1)]
+    assert cube.compact() is not None
+    assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-03", 1), ("2021-04", 1)]
