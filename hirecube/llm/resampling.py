@@ -20,12 +20,12 @@ exact cutoff. Only the winners are sorted, by range, to give ranks.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +58,21 @@ def buckets(w: Column, n_buckets: int = BUCKETS) -> Column:
     return F.concat(F.transform(w, bucket), pairs)
 
 
+def _histogram(n_buckets: int):
+    """One row per partition: how many features fell in each bucket, by ``bincount`` over the flattened arrays."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n_buckets, np.int64)
+        for batch in batches:
+            flat = batch.column("_b").flatten().to_numpy(zero_copy_only=False)
+            counts += np.bincount(flat, minlength=n_buckets)[:n_buckets]
+        yield pa.RecordBatch.from_pydict({"counts": [counts]}, schema=pa.schema([("counts", pa.list_(pa.int64()))]))
+    return run
+
+
 def bucket_counts(texts: DataFrame, text: str, n_buckets: int = BUCKETS) -> DataFrame:
-    """``bucket, n`` over all features of all texts (buckets without features absent); partial sums before the shuffle."""
-    return texts.select(F.explode(buckets(words(F.col(text)), n_buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    """``bucket, n`` over all features of all texts: a histogram per partition, then one sum per bucket."""
+    per_part = texts.select(buckets(words(F.col(text)), n_buckets).alias("_b")).mapInArrow(_histogram(n_buckets), "counts array<bigint>")
+    return per_part.select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, n_buckets: int = BUCKETS) -> list[int]:
@@ -84,13 +96,33 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / TWO_32)))
 
 
+def _gain_sums(gain: list[int]):
+    """Per row: the number of features and the sum of their gains, one ``take`` and ``reduceat`` per batch."""
+    table = np.asarray(gain, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column("_b")
+            offsets = b.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            flat = b.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(offsets)
+            totals = np.zeros(len(sizes), np.int64)
+            full = np.flatnonzero(sizes > 0)
+            if len(full):
+                totals[full] = np.add.reduceat(table[flat], offsets[:-1][full])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("tie"), batch.column("n_words"), pa.array(sizes.astype(np.int64)), pa.array(totals)],
+                names=["doc_id", "tie", "n_words", "n_features", "total"])
+    return run
+
+
 def scored(docs: DataFrame, gain: list[int], text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """``doc_id, n_features, weight, score, n_words, tie`` per row; the gain of each feature looked up in one array."""
-    table = F.from_json(F.lit(json.dumps(gain)), "array<bigint>")
     per = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), words(F.col(text)).alias("_w"))
     per = per.select("doc_id", "tie", F.size("_w").cast("long").alias("n_words"), buckets(F.col("_w"), len(gain)).alias("_b"))
-    total = F.aggregate(F.col("_b"), F.lit(0).cast("bigint"), lambda acc, b: acc + F.element_at(table, b + 1))
-    n = F.size("_b").cast("long")
+    per = per.mapInArrow(_gain_sums(gain), "doc_id long, tie long, n_words long, n_features long, total long")
+    total, n = F.col("total"), F.col("n_features")
     weight = F.when(n > 0, (total - F.pmod(total, n)) / n).otherwise(F.lit(0)).cast("long")
     return per.select(
         "doc_id", n.alias("n_features"), weight.alias("weight"),
