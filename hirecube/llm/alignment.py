@@ -32,6 +32,7 @@ from hirecube.session import checkpoint
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_BITS = 16  # a pair key is a << B_BITS | b
+CHUNK_CHARS = 1 << 20  # characters of text tokenized at once by a worker
 
 _TOKENS = pa.schema([
     ("_row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -148,34 +149,53 @@ def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray)
     return len(parts), ";".join(parts), int(span.sum()), distinct, counts.astype(np.int64)
 
 
-def _tokens(a_path: str, b_path: str):
+def _chunks(texts: list, size: int) -> Iterator[tuple[int, int]]:
+    """``[first, last)`` runs of rows of about ``size`` characters; a longer text stands alone."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= size:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _tokens(a_path: str, b_path: str, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_tok, b_tok, a_table, b_table = tokenizers(a_path, b_path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            present = [i for i, t in enumerate(texts) if t]
-            a_all = a_tok.encode_batch([" " + texts[i] for i in present], add_special_tokens=False) if present else []
-            b_all = b_tok.encode([texts[i] for i in present]) if present else []
-            out = {k: [] for k in _TOKENS.names}
-            found = dict(zip(present, zip(a_all, b_all)))
-            for i, (row, doc_id) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist())):
-                values = (0, 0, 0, 0, "", [], [])
-                if i in found:
-                    a = np.asarray(found[i][0].ids, np.int64)
-                    b = np.asarray(found[i][1], np.int64)
-                    want = np.frombuffer((" " + texts[i]).encode(), np.uint8)
-                    a_ends, a_bytes = _joined(a, a_table)
-                    b_ends, b_bytes = _joined(b, b_table)
-                    if np.array_equal(a_bytes, want) and np.array_equal(b_bytes, want):
-                        n_groups, groups, n_links, keys, mults = align(a, a_ends, b, b_ends)
-                        values = (len(a), len(b), n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest(), keys, mults)
-                for name, v in zip(_TOKENS.names, (row, doc_id, *values)):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_TOKENS)
+            all_texts, all_rows, all_ids = (batch.column(c).to_pylist() for c in ("text", "_row", "doc_id"))
+            for first, last in _chunks(all_texts, chunk_chars):
+                texts = all_texts[first:last]
+                present = [i for i, t in enumerate(texts) if t]
+                a_all = [e.ids for e in a_tok.encode_batch([" " + texts[i] for i in present], add_special_tokens=False)] if present else []
+                b_all = b_tok.encode([texts[i] for i in present]) if present else []
+                found = dict(zip(present, zip(a_all, b_all)))
+                del a_all, b_all
+                out = {k: [] for k in _TOKENS.names}
+                for i, (row, doc_id) in enumerate(zip(all_rows[first:last], all_ids[first:last])):
+                    values = (0, 0, 0, 0, "", [], [])
+                    if i in found:
+                        a = np.asarray(found[i][0], np.int64)
+                        b = np.asarray(found[i][1], np.int64)
+                        want = np.frombuffer((" " + texts[i]).encode(), np.uint8)
+                        a_ends, a_bytes = _joined(a, a_table)
+                        b_ends, b_bytes = _joined(b, b_table)
+                        if np.array_equal(a_bytes, want) and np.array_equal(b_bytes, want):
+                            n_groups, groups, n_links, keys, mults = align(a, a_ends, b, b_ends)
+                            values = (len(a), len(b), n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest(), keys, mults)
+                        del found[i]
+                    for name, v in zip(_TOKENS.names, (row, doc_id, *values)):
+                        out[name].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=_TOKENS)
     return run
 
 
-def alignment(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+def alignment(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a_path: str | None = None, b_path: str | None = None,
+    chunk_chars: int = CHUNK_CHARS,
+) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for every row of ``docs``.
 
     Null and empty texts, and texts that a tokenizer does not give back byte for
@@ -187,7 +207,7 @@ def alignment(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a_pat
     """
     a_path, b_path = a_path or tokenizer_path(A_FILE), b_path or tokenizer_path(B_FILE)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    per = checkpoint(rows.mapInArrow(_tokens(a_path, b_path), _SPARK))
+    per = checkpoint(rows.mapInArrow(_tokens(a_path, b_path, chunk_chars), _SPARK))
     pairs = per.select("_row", F.explode(F.arrays_zip("keys", "mults")).alias("p")).select("_row", F.col("p.keys").alias("key"), F.col("p.mults").alias("mult"))
     held = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
     top = held.groupBy(F.shiftright("key", B_BITS).alias("a")).agg(F.max("docs").alias("top"))

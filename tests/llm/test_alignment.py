@@ -65,6 +65,8 @@ def test_against_plain_version(spark, docs):
     frame = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, keys long, _row string").repartition(3)
     got = sorted((tuple(r) for r in alignment.alignment(frame).collect()), key=repr)
     assert got == plain(docs)
+    small = sorted((tuple(r) for r in alignment.alignment(frame, chunk_chars=16).collect()), key=repr)
+    assert small == got
 
 
 def test_gallop_finds_every_common_value():
