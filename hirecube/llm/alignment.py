@@ -102,29 +102,37 @@ def _joined(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
     return ends, flat[index]
 
 
-def gallop(short: np.ndarray, long: np.ndarray) -> tuple[list[int], list[int]]:
-    """Indices in ``short`` and ``long`` (both strictly increasing) of their common values, by galloping search."""
-    common_s, common_l = [], []
-    at, n = 0, len(long)
-    for i, x in enumerate(short.tolist()):
-        if at >= n:
+def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in ``short`` and ``long`` (both strictly increasing) of their common values.
+
+    Every value of the shorter list gallops into the longer one, all at once:
+    probes at 1, 3, 7, ... places from the start until one is not below the
+    value, then a binary search between the last two probes.
+    """
+    n = len(long)
+    if not len(short) or not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.zeros(len(short), np.int64)  # long[low - 1] < x is known
+    high = np.full(len(short), n, np.int64)  # long[high] >= x, or high = n
+    open_ = np.ones(len(short), bool)
+    step = 1
+    while open_.any():
+        probe = np.minimum(low + step - 1, n - 1)
+        below = long[probe] < short
+        low = np.where(open_ & below, probe + 1, low)
+        high = np.where(open_ & ~below, probe, high)
+        open_ &= below & (probe < n - 1)
+        step *= 2
+    while True:
+        active = low < high
+        if not active.any():
             break
-        step, hi = 1, at
-        while hi < n and long[hi] < x:
-            at, hi, step = hi, hi + step, 2 * step
-        lo, hi = at, min(hi, n - 1)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if long[mid] < x:
-                lo = mid + 1
-            else:
-                hi = mid
-        at = lo
-        if long[at] == x:
-            common_s.append(i)
-            common_l.append(at)
-            at += 1
-    return common_s, common_l
+        mid = (low + high) // 2
+        below = long[np.minimum(mid, n - 1)] < short
+        low = np.where(active & below, mid + 1, low)
+        high = np.where(active & ~below, mid, high)
+    hit = (low < n) & (long[np.minimum(low, n - 1)] == short)
+    return np.flatnonzero(hit), low[hit]
 
 
 def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[int, str, int, np.ndarray, np.ndarray]:
@@ -133,11 +141,19 @@ def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray)
         ia, ib = gallop(a_ends, b_ends)
     else:
         ib, ia = gallop(b_ends, a_ends)
-    sa, sb = [str(x) for x in a.tolist()], [str(x) for x in b.tolist()]
-    parts, pa_, pb_ = [], 0, 0
-    for i, j in zip(ia, ib):
-        parts.append(",".join(sa[pa_:i + 1]) + "|" + ",".join(sb[pb_:j + 1]))
-        pa_, pb_ = i + 1, j + 1
+    # every token once, A's of a group before B's; after each a comma, or the group's '|' or ';'
+    group_a = np.searchsorted(ia, np.arange(len(a)))
+    group_b = np.searchsorted(ib, np.arange(len(b)))
+    order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+    words = np.array([str(x) for x in np.r_[a, b].tolist()], dtype=object)[order]
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[ia], last_b[ib] = True, True
+    seps = np.r_[np.where(last_a, "|", ","), np.where(last_b, ";", ",")].astype(object)[order]
+    if len(seps):
+        seps[-1] = ""
+    pieces = [None] * (2 * len(words))
+    pieces[::2], pieces[1::2] = words.tolist(), seps.tolist()
+    text = "".join(pieces)
     a_starts, b_starts = np.r_[0, a_ends[:-1]], np.r_[0, b_ends[:-1]]
     first = np.searchsorted(b_ends, a_starts, "right")
     last = np.searchsorted(b_starts, a_ends, "left")
@@ -146,7 +162,7 @@ def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray)
     inner = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
     keys = (a[which].astype(np.int64) << B_BITS) | b[first[which] + inner].astype(np.int64)
     distinct, counts = np.unique(keys, return_counts=True)
-    return len(parts), ";".join(parts), int(span.sum()), distinct, counts.astype(np.int64)
+    return len(ia), text, int(span.sum()), distinct, counts.astype(np.int64)
 
 
 def _chunks(texts: list, size: int) -> Iterator[tuple[int, int]]:
