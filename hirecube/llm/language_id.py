@@ -50,6 +50,23 @@ def presence(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield at + first, out
 
 
+def unpack(rows: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.unpackbits(x, count=BUCKETS) for x in rows])
+
+
+def unit(present: np.ndarray) -> np.ndarray:
+    x = present.astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
+def nystrom(marks: np.ndarray) -> np.ndarray:
+    """What maps kernel values with the landmarks to features."""
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    keep = values > 1e-6 * max(values.max(), 1e-12)
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
 @dataclass
 class Classifier:
     classes: list[str]
@@ -69,22 +86,19 @@ class Classifier:
             turn[label] = turn.get(label, -1) + 1
             place.append(turn[label])
         chosen = np.lexsort((np.arange(len(labels)), place))[:landmarks]
-
-        def unit(some) -> np.ndarray:
-            x = np.stack([np.unpackbits(rows[i], count=BUCKETS) for i in some]).astype(np.float32)
-            x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-            return x
-
-        marks = unit(chosen)
-        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-        keep = values > 1e-6 * max(values.max(), 1e-12)
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        phi = np.concatenate([unit(range(a, min(a + ROWS, len(rows)))) @ marks.T for a in range(0, len(rows), ROWS)]) @ root
+        marks = unit(unpack([rows[i] for i in chosen]))
+        root = nystrom(marks)
+        phi = np.concatenate([unit(unpack(rows[a:a + ROWS])) @ marks.T for a in range(0, len(rows), ROWS)]) @ root
         phi = np.c_[phi, np.ones(len(phi))]
         target = np.where(np.array(labels)[:, None] == np.array(classes)[None], 1.0, -1.0)
-        penalty = ridge * len(phi) * np.eye(phi.shape[1])
+        return cls.solve(classes, marks, root, phi.T @ phi, phi.T @ target, len(phi), ridge)
+
+    @classmethod
+    def solve(cls, classes, marks, root, gram, moment, n: int, ridge: float = RIDGE) -> Classifier:
+        """From the normal equations of ``n`` mapped rows."""
+        penalty = ridge * n * np.eye(len(gram))
         penalty[-1, -1] = 0
-        alpha = np.linalg.solve(phi.T @ phi + penalty, phi.T @ target)
+        alpha = np.linalg.solve(gram + penalty, moment)
         return cls(classes, (marks.T @ (root @ alpha[:-1])).astype(np.float32), alpha[-1])
 
     def predict(self, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +110,8 @@ class Classifier:
         return best, part[np.arange(len(best)), best] / part.sum(axis=1)
 
 
-def fit(rows: DataFrame, draw: Column, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Classifier:
-    """From ``text`` and ``lang`` of at most ``sample`` rows, as many of each language, drawn by hash.
-
-    Rows without a language or without a letter teach nothing. The n-gram sets
-    are made by many tasks and the model by one, from one bit per bucket and row.
-    """
-    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", draw.alias("draw"))
-    chosen = samples.by_class(usable, "lang", F.col("draw"), sample).select("lang", "text", "draw")
+def _bits(rows: DataFrame) -> DataFrame:
+    """``lang, draw, bits``: the packed presence vector of each ``text``."""
     schema = pa.schema([("lang", pa.string()), ("draw", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +122,65 @@ def fit(rows: DataFrame, draw: Column, sample: int = SAMPLE, landmarks: int = LA
                     schema, lang=many.column("lang").slice(first, len(out)), draw=many.column("draw").slice(first, len(out)),
                     bits=[b.tobytes() for b in bits])
 
+    return rows.select("lang", "text", "draw").mapInArrow(run, "lang string, draw long, bits binary")
+
+
+def fit(rows: DataFrame, draw: Column, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Classifier:
+    """From ``text`` and ``lang`` of at most ``sample`` rows, as many of each language, drawn by hash.
+
+    Rows without a language or without a letter teach nothing. The n-gram sets
+    are made by many tasks and the model by one, from one bit per bucket and row.
+    """
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", draw.alias("draw"))
+    chosen = samples.by_class(usable, "lang", F.col("draw"), sample)
+
     def classifier(got: list[dict]) -> Classifier:
         got.sort(key=lambda r: (r["draw"], r["lang"], r["bits"]))
         return Classifier.fit([np.frombuffer(r["bits"], np.uint8) for r in got], [r["lang"] for r in got], landmarks)
 
-    return samples.fit_in_task(chosen.mapInArrow(run, "lang string, draw long, bits binary"), classifier)
+    return samples.fit_in_task(_bits(chosen), classifier)
+
+
+def fit_all(rows: DataFrame, draw: Column, shard: Column, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Classifier:
+    """From ``text`` and ``lang`` of all rows, both of them not null.
+
+    The landmarks, which are the feature map and not what is learned, are about
+    ``landmarks`` rows, as many of each language, drawn by hash. The normal
+    equations are sums over all rows, one part per partition; ``shard`` numbers
+    the partitions.
+    """
+    marked = rows.select("lang", "text", draw.alias("draw"), shard.cast("int").alias("shard"))
+    chosen = _bits(samples.by_class(marked, "lang", F.col("draw"), landmarks)).toArrow().to_pylist()
+    chosen.sort(key=lambda r: (r["draw"], r["lang"], r["bits"]))
+    if not chosen:
+        return Classifier.fit([], [])
+    classes = sorted({r["lang"] for r in chosen})
+    bits = [np.frombuffer(r["bits"], np.uint8) for r in chosen]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, total, n, at = None, 0.0, 0, 0
+        for many in batches:
+            if not many.num_rows:
+                continue
+            if marks is None:
+                marks = np.ascontiguousarray(unit(unpack(bits)).T)
+            at = many.column("shard")[0].as_py()
+            target = np.where(np.array(many.column("lang").to_pylist(), object)[:, None] == np.array(classes, object)[None], 1.0, -1.0)
+            for first, out in presence(many.column("text")):
+                kernel = np.c_[unit(out) @ marks, np.ones(len(out))].astype(np.float64)
+                total = total + kernel.T @ np.c_[kernel, target[first:first + len(out)]]
+                n += len(out)
+        if marks is not None:
+            yield samples.pieces(at, {**dict(enumerate(np.array_split(total, 16))), -1: np.array([n])}, np.float64)
+
+    sums = samples.summed(marked.mapInArrow(run, samples.PIECES), np.float64)
+    marks = unit(unpack(bits))
+    root = nystrom(marks)
+    wide = len(marks) + 1
+    total = np.concatenate([sums[b] for b in range(16) if b in sums]).reshape(wide, -1)
+    turn = np.zeros((wide, root.shape[1] + 1))  # from kernel values and 1 to features and 1
+    turn[:-1, :-1], turn[-1, -1] = root, 1
+    return Classifier.solve(classes, marks, root, turn.T @ total[:, :wide] @ turn, turn.T @ total[:, wide:], int(sums[-1][0]), ridge)
 
 
 def predict(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text") -> DataFrame:

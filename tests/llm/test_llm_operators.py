@@ -285,6 +285,48 @@ def test_toxicity(spark, docs, empty):
     assert {g["score"] for g in collect(toxicity.classify(frame, labels.where("toxic = 0"), held))} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Each of 9,000 rows has a word of its own; those that train, three in four, leave their mark in the counts."""
+    n = 9000
+    name = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4)) + "qxzwvkj"
+    frame = spark.createDataFrame([(i, f"{name(i)} {'bad' if i % 3 == 0 else 'good'}", "en") for i in range(n)], "doc_id long, text string, lang string")
+    model = toxicity.learn(frame, frame.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")), shard=4000, epochs=1)
+    marked = 0
+    for _, buckets, tokens, bounds in toxicity.features(pa.array([name(i) for i in range(n)])):
+        marked += (model.network.embedding[buckets[tokens[bounds[:-1]], 0], 0] != 0).sum()
+    assert marked > 0.73 * n
+    assert (model.score(pa.array(["bad", "good"])) >= 0.5).tolist() == [True, False]
+
+
+def test_toxicity_thresholds_equal_a_plain_search(spark):
+    rng = np.random.default_rng(5)
+    made = [(["a", "b", None][int(g)], float(round(x + y, 1)), int(y)) for g, x, y in zip(rng.integers(0, 3, 600), rng.normal(0, 1, 600), rng.integers(0, 2, 600))]
+    got = toxicity.thresholds(spark.createDataFrame(made, "grp string, logit double, toxic int").repartition(3))
+    for grp in ("a", "b", None):
+        mine = [(x, y) for g, x, y in made if g == grp]
+        values = sorted({x for x, _ in mine})
+        edges = [values[0] - 2, *values, values[-1] + 2]
+        ones, zeros = sum(y for _, y in mine), sum(1 - y for _, y in mine)
+        cuts = []
+        for low, high in zip(edges[:-1], edges[1:]):
+            errors = sum(y for x, y in mine if x <= low) / ones + toxicity.CLEAN_WEIGHT * sum(1 - y for x, y in mine if x > low) / zeros
+            cuts.append((round(errors, 10), low - high, (low + high) / 2))
+        best = min(c[0] for c in cuts)
+        widest = min(c[1] for c in cuts if c[0] == best)
+        assert any(abs(c[2] - got[grp]) < 1e-9 for c in cuts if c[0] == best and c[1] < widest + 1e-9)
+
+
+def test_language_id_of_all_rows_equals_the_model_in_one_place(spark):
+    made = [(i, t, lang) for i, t, lang, _ in spoken(90, 4)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit_all(frame, F.xxhash64("doc_id"), F.spark_partition_id(), landmarks=90)
+    present = np.concatenate([x for _, x in language_id.presence(pa.array([t for _, t, _ in made]))])
+    want = language_id.Classifier.fit([np.packbits(x) for x in present], [lang for *_, lang in made], landmarks=90)
+    size = np.sqrt(present.sum(1))[:, None]
+    margins = [(present.astype(float) @ m.weights) / size + m.bias for m in (model, want)]
+    assert model.classes == want.classes and np.allclose(*margins, atol=1e-2)
+
+
 def test_toxicity_pooling_equals_a_plain_convolution():
     rng = np.random.default_rng(1)
     texts = ["one two three", "", "four", "one one five six seven"]
