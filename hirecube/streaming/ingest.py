@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from hirecube.sources.tables import VersionedTable, _only_missing, write_cube
 
 DELTA_SCHEMA = f"{CUBE_SCHEMA}, arquivo string, batch_id bigint"
 CUBE_SCHEMA_NAMES = [*vocab.CUBE_KEYS, *vocab.CUBE_MEASURES]
+ROWS_PER_TASK = 250_000
 LEDGER_SCHEMA = "arquivo string, tamanho bigint, modificado timestamp, batch_id bigint"
 
 
@@ -107,7 +110,14 @@ class CubeStore:
         parts = self._parts()
         if months:
             parts = [p.where(F.col("data").isin(months)) for p in parts]
-        return merge_cube(*parts, snap=snap)
+        return self._merged(parts, snap)
+
+    def _merged(self, parts: list[DataFrame], snap: int | None = None) -> DataFrame:
+        """Parts added up by key. Each part is folded already, so rows go to their key's task as they are, and a task
+        gets a bounded number; partial sums in the tasks that read would only hold nearly every row of a file split."""
+        rows = reduce(DataFrame.unionByName, parts)
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+        return merge_cube(rows.repartition(tasks, *vocab.CUBE_KEYS), snap=snap)
 
     def compact(self) -> int | None:
         """Fold base and deltas into a new base; safe to repeat or to lose half-way."""
@@ -116,7 +126,7 @@ class CubeStore:
         held = self._contained()
         if newest is None or held >= newest:
             return None
-        return self.base.write(merge_cube(*self._parts(newest)), "data", last_batch=newest)
+        return self.base.write(self._merged(self._parts(newest)), "data", last_batch=newest)
 
 
 def fold_lines(lines: DataFrame, profile: DataFrame | None = None, by_file: bool = False, **bounds) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows_of
 from hirecube import vocab
 from hirecube.streaming.ingest import CubeStore, fold_lines, ingest_new_months
@@ -117,3 +118,11 @@ def test_reissued_file_replaces_its_own_delta(spark, tmp_path):
     assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-03", 1), ("2021-04", 1)]
     assert cube.compact() is not None
     assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-03", 1), ("2021-04", 1)]
+
+
+def test_merging_deltas_sums_after_the_shuffle_only(spark, make_cube, tmp_path):
+    """Deltas are folded already: a task that reads them must not hold its whole split in a hash map."""
+    kept = CubeStore(spark, str(tmp_path / "store"))
+    kept.put(make_cube([{"data": "2023-01"}, {"data": "2023-02"}]), 0)
+    above, below = kept.read()._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM", 1)
+    assert "partial_sum(soma_salario" in above and "partial_sum(soma_salario" not in below
