@@ -41,21 +41,24 @@ def require(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.na.drop(subset=cols)
 
 
-def quality_bounds(
-    df: DataFrame,
+def bounded(
     min_age: int = vocab.MIN_AGE,
     max_age: int = vocab.MAX_AGE,
     min_salary: float = vocab.MIN_SALARY,
     max_salary: float = vocab.MAX_SALARY,
-) -> DataFrame:
-    """Ages from min to max, both included; salaries strictly between the limits."""
-    return df.where(
+) -> Column:
+    return (
         F.col("idade").between(min_age, max_age)
         & (F.col("salario") > min_salary)
         & (F.col("salario") < max_salary)
     )
 
 
+def quality_bounds(df: DataFrame, *bounds, **named) -> DataFrame:
+    """Ages from min to max, both included; salaries strictly between the limits (``bounded``'s)."""
+    return df.where(bounded(*bounds, **named))
+
+
 def month_range(df: DataFrame, first: str, last: str) -> DataFrame:
     return df.where(F.col("data").between(first, last))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from hirecube.operators.clean import clean_movements, outcome_of_ingest, to_cube
+from hirecube.operators.clean import LEFT_OUT, audit_of_cells, audited_cube, clean_movements, file_audit, to_cube
 from hirecube import vocab
 from hirecube.operators.cube import CUBE_SCHEMA, merge_cube
 from hirecube.session import checkpoint
@@ -43,8 +43,13 @@ class CubeStore:
         self.base = VersionedTable(spark, f"{self.root}/base")
 
     def put(self, delta: DataFrame, batch_id: int) -> None:
+        """Rows of the cube, or cells of ``audited_cube``, whose month ``LEFT_OUT`` only the audit reads."""
         write_cube(delta, f"{self.root}/deltas/batch_id={batch_id}")
 
+    def cells(self, batch_id: int) -> DataFrame:
+        """What ``put`` wrote of ``audited_cube``."""
+        return self.spark.read.schema("arquivo string, _tipo int, total_admissoes bigint").parquet(f"{self.root}/deltas/batch_id={batch_id}")
+
     def ledger(self) -> DataFrame:
         try:
             return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self.root}/ledger")
@@ -87,7 +92,7 @@ class CubeStore:
 
     def deltas(self) -> DataFrame:
         try:
-            return self.spark.read.schema(DELTA_SCHEMA).parquet(f"{self.root}/deltas")
+            return self.spark.read.schema(DELTA_SCHEMA).parquet(f"{self.root}/deltas").where(F.col("data") != LEFT_OUT)
         except AnalysisException as error:
             _only_missing(error)
             return self.spark.createDataFrame([], DELTA_SCHEMA)
@@ -177,8 +182,8 @@ def ingest_new_months(
         number = cube_store.next_batch()
         whole = batch.join(files.select("arquivo"), "arquivo", "left_semi").drop("nome", "tamanho", "modificado")
         profile = checkpoint(profile_files(whole))
-        cube_store.put_audit(outcome_of_ingest(profile, split_lines(whole, profile)), number)
-        cube_store.put(fold_lines(whole, profile, by_file=True, **bounds), number)
+        cube_store.put(audited_cube(split_lines(whole, profile), **bounds), number)
+        cube_store.put_audit(file_audit(profile).join(audit_of_cells(cube_store.cells(number)), "arquivo", "left"), number)
         cube_store.record(files, number)
 
     query = (

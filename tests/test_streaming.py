@@ -120,6 +120,32 @@ def test_reissued_file_replaces_its_own_delta(spark, tmp_path):
     assert rows_of(cube.read(), "data", "total_admissoes") == [("2021-03", 1), ("2021-04", 1)]
 
 
+def test_one_parse_gives_delta_and_audit(spark, tmp_path):
+    """Rows left out of the cube are counted beside it, and the audit equals that of a parse of its own."""
+    from hirecube.operators import clean as cl
+    from hirecube.sources import raw
+
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+    landing.mkdir()
+    header = "competênciamov;município;subclasse;cbo2002ocupação;graudeinstrução;idade;raça/cor;sexo;salário;tipomovimentação"
+    lines = [f"202101;35000{i % 3};4711302;411010;7;{a};1;1;{p};{k}" for i, (a, p, k) in enumerate([
+        ("30", "1000,50", "10"), ("x", "900,00", "10"), ("31", "?", "Admissão"), ("10", "800,00", "20"), ("40", "2,00", "31"), ("90", "700,00", "10"),
+        ("25", "600,00", "10"), ("25", "600,00", "10")])]
+    for name in ("202101.txt", "202102.txt"):
+        (landing / name).write_bytes("\n".join([header, *lines]).encode("latin-1"))
+    ingest_new_months(spark, str(landing), store, str(tmp_path / "progress"), min_age=5, max_age=95)
+    kept = CubeStore(spark, store)
+    profile = raw.profile_files(raw.raw_lines(spark, str(landing)))
+    want = cl.outcome_of_ingest(profile, raw.read_movements(spark, str(landing)))
+    assert rows_of(kept.audit(), *want.columns) == rows_of(want)
+    folded = fold_lines(raw.raw_lines(spark, str(landing)), min_age=5, max_age=95)
+    assert rows_of(kept.read(), *vocab.CUBE_KEYS, *vocab.CUBE_MEASURES) == rows_of(folded, *vocab.CUBE_KEYS, *vocab.CUBE_MEASURES)
+    # no pay or age, or no admission: in cells of their own, not in the cube
+    cells = kept.cells(0)
+    assert cells.agg(F.sum("total_admissoes")).first()[0] == want.agg(F.sum("linhas")).first()[0]
+    assert kept.deltas().agg(F.sum("total_admissoes")).first()[0] == folded.agg(F.sum("total_admissoes")).first()[0] < 2 * len(lines)
+
+
 def test_merging_deltas_sums_after_the_shuffle_only(spark, make_cube, tmp_path):
     """Deltas are folded already: a task that reads them must not hold its whole split in a hash map."""
     kept = CubeStore(spark, str(tmp_path / "store"))
