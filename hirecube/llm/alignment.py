@@ -7,10 +7,15 @@ byte-level alphabet and, for B, its piece in UTF-8 with U+2581 read as a space
 and ``<0xHH>`` as the byte HH. Where the joined bytes of either side differ from
 the space and the text's UTF-8, the text has no tokens.
 
-Per text: the byte offsets where tokens end on each side are increasing lists;
-the shorter drives an exponential-then-binary (galloping) search into the
-longer, and the common offsets, by their indices on both sides, cut the tokens
-into groups. An A token overlaps the B tokens from the number of B ends at or
+Tokens of either side are found part by part, each distinct part once per
+worker process (see ``tokens``): A's parts end where its pattern must, B's
+before a space that follows another character, which no piece of B runs over.
+
+The byte offsets where tokens end on each side, over all texts of a chunk, are
+increasing lists; the shorter drives an exponential-then-binary (galloping)
+search into the longer, and the common offsets, by their indices on both sides,
+cut the tokens into groups. Texts end at common offsets, so no group holds two
+texts. An A token overlaps the B tokens from the number of B ends at or
 before its start to the number of B starts before its end: a difference of
 ranks. Corpus-wide, the number of documents that hold each linked pair of ids
 comes from one partially aggregated count; each document then sums over its
@@ -25,14 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirecube.llm import tokens, words
 from hirecube.session import checkpoint
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_BITS = 16  # a pair key is a << B_BITS | b
-CHUNK_CHARS = 1 << 20  # characters of text tokenized at once by a worker
+ROW_BITS = 40  # within a chunk, a pair key of a row is row << ROW_BITS | key
+CHUNK_CHARS = words.CHUNK_BYTES  # about as many characters (bytes, in UTF-8) are aligned at once by a worker
+BLOCK = 8  # values of a list that gallop from where the first of them was found
 
 _TOKENS = pa.schema([
     ("_row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -72,10 +81,8 @@ def tokenizers(a_path: str, b_path: str):
     import json
 
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(a_path)
-    a.encode_special_tokens = True
+    a = tokens.encoder(a_path).tokenizer
     alphabet = _byte_level_alphabet()
     vocab = json.load(open(a_path, encoding="utf-8"))["model"]["vocab"]
     a_pieces = [b""] * (max(vocab.values()) + 1)
@@ -92,119 +99,161 @@ def tokenizers(a_path: str, b_path: str):
     return a, b, _table(a_pieces), _table(b_pieces)
 
 
-def _joined(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ends and the joined bytes of ``ids``."""
-    flat, offsets = table
-    lengths = offsets[ids + 1] - offsets[ids]
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    index = np.repeat(offsets[ids] - starts, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return ends, flat[index]
+class PieceEncoder(tokens.Encoder):
+    """Ids of a sentencepiece model for texts that begin with the space the model adds."""
 
+    def __init__(self, model):
+        self.model = model
+        pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+        self.whole = any("▁" in p.lstrip("▁") for p in pieces)  # such a piece could run over a cut
+        self.clear()
 
-def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices in ``short`` and ``long`` (both strictly increasing) of their common values.
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows are cut before a space after another character, but not before a row's last one: alone it would be lost."""
+        cut = np.zeros(len(data) + 1, bool)
+        if not self.whole:
+            space = data == 0x20
+            cut[1:-1] = space[1:] & ~space[:-1]
+            cut[offsets[1:] - 1] = False
+        cut[offsets] = True
+        cut[-1] = False
+        starts = np.flatnonzero(cut)
+        return starts, np.r_[starts[1:], len(data)] if len(data) else starts, np.searchsorted(starts, offsets)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode([t[1:] for t in texts], num_threads=1)
+
+
+@functools.lru_cache(maxsize=4)
+def _side_by_side(a_path: str, b_path: str):
+    """Both encoders, each one's token bytes, and the text of each token in a group.
+
+    That of A's id ``i`` is at ``2 * i``, with a comma after it, or at ``2 * i + 1``
+    with ``|``; B's follow A's, with a comma or ``;``.
+    """
+    _, b, *tables = tokenizers(a_path, b_path)
+    pieces = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]) for flat, offsets in tables]
+    shown = [f"{i}{end}" for table, ends in zip(pieces, (",|", ",;")) for i in range(len(table)) for end in ends]
+    return tokens.encoder(a_path), PieceEncoder(b), *pieces, pa.array(shown, pa.large_string())
 
-    Every value of the shorter list gallops into the longer one, all at once:
-    probes at 1, 3, 7, ... places from the start until one is not below the
-    value, then a binary search between the last two probes.
+
+def _taken(table: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``table``'s values at ``index`` one after another, and where each begins (one entry more)."""
+    got = table.take(pa.array(index))
+    _, where, raw = got.buffers()
+    offsets = np.frombuffer(where, np.int64)[got.offset:got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int64)
+    return (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _ranks(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """For every value of ``short`` the number of values of ``long`` below it, by galloping.
+
+    The first value of each block of ``BLOCK`` is placed first, in the same way;
+    all others gallop from there at once: probes at 1, 3, 7, ... places, until
+    one is not below the value, then a binary search between the last two probes.
     """
     n = len(long)
-    if not len(short) or not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = np.zeros(len(short), np.int64)  # long[low - 1] < x is known
+    # long[low - 1] < x is known
+    low = np.repeat(_ranks(short[::BLOCK], long), BLOCK)[:len(short)] if len(short) > BLOCK else np.zeros(len(short), np.int64)
     high = np.full(len(short), n, np.int64)  # long[high] >= x, or high = n
-    open_ = np.ones(len(short), bool)
+    at = np.arange(len(short))
     step = 1
-    while open_.any():
-        probe = np.minimum(low + step - 1, n - 1)
-        below = long[probe] < short
-        low = np.where(open_ & below, probe + 1, low)
-        high = np.where(open_ & ~below, probe, high)
-        open_ &= below & (probe < n - 1)
+    while len(at):
+        probe = np.minimum(low[at] + step - 1, n - 1)
+        below = long[probe] < short[at]
+        low[at[below]] = probe[below] + 1
+        high[at[~below]] = probe[~below]
+        at = at[below & (probe < n - 1)]
         step *= 2
-    while True:
-        active = low < high
-        if not active.any():
-            break
-        mid = (low + high) // 2
-        below = long[np.minimum(mid, n - 1)] < short
-        low = np.where(active & below, mid + 1, low)
-        high = np.where(active & ~below, mid, high)
+    at = np.flatnonzero(low < high)
+    while len(at):
+        mid = (low[at] + high[at]) // 2
+        below = long[mid] < short[at]
+        low[at[below]] = mid[below] + 1
+        high[at[~below]] = mid[~below]
+        at = at[low[at] < high[at]]
+    return low
+
+
+def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in ``short`` and ``long`` (both strictly increasing) of their common values."""
+    n = len(long)
+    if not len(short) or not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = _ranks(short, long)
     hit = (low < n) & (long[np.minimum(low, n - 1)] == short)
     return np.flatnonzero(hit), low[hit]
 
 
-def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[int, str, int, np.ndarray, np.ndarray]:
-    """``n_groups``, the groups' text ``a1,a2|b1;...``, ``n_links`` and the distinct linked pair keys with their counts."""
-    if len(a_ends) <= len(b_ends):
+def _without(rows: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` and ``bounds`` with nothing in the marked rows."""
+    size = np.diff(bounds)
+    return values[np.repeat(~rows, size)], np.r_[0, np.cumsum(np.where(rows, 0, size))]
+
+
+def align(data: np.ndarray, offsets: np.ndarray, a_path: str, b_path: str) -> dict[str, np.ndarray | list | pa.Array]:
+    """The columns of ``_TOKENS`` from ``n_a`` on for rows of ``data``, a space and a text each."""
+    a_encoder, b_encoder, a_pieces, b_pieces, shown = _side_by_side(a_path, b_path)
+    sides = [(*a_encoder.chunk(data, offsets), a_pieces), (*b_encoder.chunk(data, offsets), b_pieces)]
+    # rows without text, and rows whose bytes a side doesn't give back, in length and then in value
+    size = np.diff(offsets)
+    bad = size <= 1
+    for ids, bounds, pieces in sides:
+        ends = np.r_[0, np.cumsum(pc.binary_length(pieces).to_numpy()[ids])]
+        bad |= np.diff(ends[bounds]) != size
+    while True:
+        if bad.any():
+            sides = [(*_without(bad, ids, bounds), pieces) for ids, bounds, pieces in sides]
+            data, offsets = _without(bad, data, offsets)
+        joined = [_taken(pieces, ids) for ids, _, pieces in sides]
+        wrong = np.flatnonzero((joined[0][0] != data) | (joined[1][0] != data))
+        if not len(wrong):
+            break
+        bad = np.zeros(len(offsets) - 1, bool)
+        bad[np.searchsorted(offsets, wrong, "right") - 1] = True
+    (a, a_rows, _), (b, b_rows, _) = sides
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    (a_starts, a_ends), (b_starts, b_ends) = ((at[:-1], at[1:]) for _, at in joined)
+    if len(a) <= len(b):
         ia, ib = gallop(a_ends, b_ends)
     else:
         ib, ia = gallop(b_ends, a_ends)
     # every token once, A's of a group before B's; after each a comma, or the group's '|' or ';'
-    group_a = np.searchsorted(ia, np.arange(len(a)))
-    group_b = np.searchsorted(ib, np.arange(len(b)))
-    order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
-    words = np.array([str(x) for x in np.r_[a, b].tolist()], dtype=object)[order]
-    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    last_a[ia], last_b[ib] = True, True
-    seps = np.r_[np.where(last_a, "|", ","), np.where(last_b, ";", ",")].astype(object)[order]
-    if len(seps):
-        seps[-1] = ""
-    pieces = [None] * (2 * len(words))
-    pieces[::2], pieces[1::2] = words.tolist(), seps.tolist()
-    text = "".join(pieces)
-    a_starts, b_starts = np.r_[0, a_ends[:-1]], np.r_[0, b_ends[:-1]]
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[ia], last_b[ib] = 1, 1
+    text = np.zeros(len(a) + len(b), np.int64)
+    text[np.arange(len(a)) + np.r_[0, ib + 1][np.cumsum(last_a) - last_a]] = 2 * a + last_a
+    text[np.arange(len(b)) + (ia + 1)[np.cumsum(last_b) - last_b]] = 2 * (len(a_pieces) + b) + last_b
+    raw, at = _taken(shown, text)
+    at = at[a_rows + b_rows]
+    raw = memoryview(raw)
+    digests = [hashlib.sha256(raw[i:j - 1]).hexdigest() if i < j else "" for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
     first = np.searchsorted(b_ends, a_starts, "right")
-    last = np.searchsorted(b_starts, a_ends, "left")
-    span = last - first
+    span = np.searchsorted(b_starts, a_ends, "left") - first
     which = np.repeat(np.arange(len(a)), span)
-    inner = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
-    keys = (a[which].astype(np.int64) << B_BITS) | b[first[which] + inner].astype(np.int64)
-    distinct, counts = np.unique(keys, return_counts=True)
-    return len(ia), text, int(span.sum()), distinct, counts.astype(np.int64)
-
-
-def _chunks(texts: list, size: int) -> Iterator[tuple[int, int]]:
-    """``[first, last)`` runs of rows of about ``size`` characters; a longer text stands alone."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= size:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(span) - span, span)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(a_rows)) << ROW_BITS
+    pairs = (row | (a << B_BITS))[which] | b[first[which] + inner]
+    pairs.sort()
+    new = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]][:len(pairs)])
+    distinct, bounds = pairs[new], np.zeros(len(offsets), np.int32)
+    np.cumsum(np.bincount(distinct >> ROW_BITS, minlength=len(offsets) - 1), out=bounds[1:])
+    lists = pa.array(bounds)
+    return {
+        "n_a": np.diff(a_rows), "n_b": np.diff(b_rows), "n_groups": words.sums(last_a, a_rows), "n_links": words.sums(span, a_rows),
+        "groups_sha256": digests, "keys": pa.ListArray.from_arrays(lists, pa.array(distinct & ((1 << ROW_BITS) - 1))),
+        "mults": pa.ListArray.from_arrays(lists, pa.array(np.diff(np.r_[new, len(pairs)]))),
+    }
 
 
 def _tokens(a_path: str, b_path: str, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_tok, b_tok, a_table, b_table = tokenizers(a_path, b_path)
         for batch in batches:
-            all_texts, all_rows, all_ids = (batch.column(c).to_pylist() for c in ("text", "_row", "doc_id"))
-            for first, last in _chunks(all_texts, chunk_chars):
-                texts = all_texts[first:last]
-                present = [i for i, t in enumerate(texts) if t]
-                a_all = [e.ids for e in a_tok.encode_batch([" " + texts[i] for i in present], add_special_tokens=False)] if present else []
-                b_all = b_tok.encode([texts[i] for i in present]) if present else []
-                found = dict(zip(present, zip(a_all, b_all)))
-                del a_all, b_all
-                out = {k: [] for k in _TOKENS.names}
-                for i, (row, doc_id) in enumerate(zip(all_rows[first:last], all_ids[first:last])):
-                    values = (0, 0, 0, 0, "", [], [])
-                    if i in found:
-                        a = np.asarray(found[i][0], np.int64)
-                        b = np.asarray(found[i][1], np.int64)
-                        want = np.frombuffer((" " + texts[i]).encode(), np.uint8)
-                        a_ends, a_bytes = _joined(a, a_table)
-                        b_ends, b_bytes = _joined(b, b_table)
-                        if np.array_equal(a_bytes, want) and np.array_equal(b_bytes, want):
-                            n_groups, groups, n_links, keys, mults = align(a, a_ends, b, b_ends)
-                            values = (len(a), len(b), n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest(), keys, mults)
-                        del found[i]
-                    for name, v in zip(_TOKENS.names, (row, doc_id, *values)):
-                        out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=_TOKENS)
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+            for first, data, offsets in words.chunks(spaced, chunk_chars):
+                some = batch.slice(first, len(offsets) - 1)
+                yield words.batch(_TOKENS, _row=some.column("_row"), doc_id=some.column("doc_id"), **align(data, offsets, a_path, b_path))
     return run
 
 

@@ -81,3 +81,25 @@ def test_gallop_finds_every_common_value():
 
 def test_empty(spark):
     assert alignment.alignment(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_are_encoded_once_and_give_the_ids_of_whole_texts(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from hirecube.llm import words
+    rng = random.Random(2)  # without U+2581: texts that hold it are not given back byte for byte
+    alphabet = ["a", "the", "é", "日", "🙂", "\n", "\x00", "<s>", ".", " ", " ", "  "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))) for _ in range(300)] + ["a ", " ", "  a  b ", "the cat " * 200]
+    _, b_tok, _, _ = alignment.tokenizers(alignment.tokenizer_path(alignment.A_FILE), alignment.tokenizer_path(alignment.B_FILE))
+    own, given = alignment.PieceEncoder(b_tok), []
+    plain_encode = own.encode
+    monkeypatch.setattr(own, "encode", lambda parts: given.extend(parts) or plain_encode(parts))
+    for _ in range(2):
+        for first, data, offsets in words.chunks(pa.array([" " + t for t in texts]), 1000):
+            ids, bounds = own.chunk(data, offsets)
+            for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])):
+                assert np.array_equal(ids[x:y], b_tok.encode(texts[first + i]))
+    assert len(given) == len(set(given))
