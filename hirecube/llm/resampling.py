@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from hirecube.session import checkpoint
 
 # Fixed values of the contract.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ by its complement, which Java matches many times faster than a negated class
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 10_000
 SEED = 7
