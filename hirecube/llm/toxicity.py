@@ -56,14 +56,15 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
     pad = max(WIDTHS) - 1
     for first, data, offsets in words.lower_chunks(texts):
         starts, ends, rows = words.spans(data, offsets, GAPS)
-        hashes = words.hash_spans(data, starts, ends)
+        prefix = words.prefixes(data)
+        hashes = words.hash_spans(data, starts, ends, prefix)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         a, b = starts[where], ends[where]
         buckets = np.zeros((len(distinct) + 1, 1 + len(STEMS)), np.int32)
         buckets[1:, 0] = 1 + (distinct % words.U64(BUCKETS - 1)).astype(np.int32)
         for j, n in enumerate(STEMS, 1):
             longer = np.flatnonzero(b - a > n)
-            stem = words.mix(words.hash_spans(data, a[longer], a[longer] + n))
+            stem = words.mix(words.hash_spans(data, a[longer], a[longer] + n, prefix))
             buckets[1 + longer, j] = 1 + (stem % words.U64(BUCKETS - 1)).astype(np.int32)
         tokens = np.insert(which + 1, np.repeat(rows[1:], pad), 0)
         yield first, buckets, tokens, rows + pad * np.arange(len(rows))
@@ -83,18 +84,17 @@ class Network:
 
     def pooled(self, buckets: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, where: bool = False):
         """Best value of each filter per row (and its place)."""
-        vectors = self.embedding[buckets].sum(axis=1)
-        best, place = [], []
+        vectors = self.embedding.take(buckets, axis=0).sum(axis=1)
+        best, place, nothing = [], [], np.flatnonzero(tokens == 0)
         for kernel in self.kernels:
-            value = (vectors @ kernel[0])[tokens]
+            value = (vectors @ kernel[0]).take(tokens, axis=0)
             for j in range(1, len(kernel)):
-                value[:-j] += (vectors @ kernel[j])[tokens[j:]]
-            value[tokens == 0] = 0  # from there on a filter would see the next row
+                value[:-j] += (vectors @ kernel[j]).take(tokens[j:], axis=0)
+            value[nothing] = 0  # from there on a filter would see the next row
             best.append(np.maximum.reduceat(value, bounds[:-1], axis=0))
             if where:
-                rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                hit = value == best[-1][rows]
-                at = np.where(hit, np.arange(len(value))[:, None], len(value))
+                hit = value == np.repeat(best[-1], np.diff(bounds), axis=0)
+                at = np.where(hit, np.arange(len(value), dtype=np.int32)[:, None], np.int32(len(value)))
                 place.append(np.minimum.reduceat(at, bounds[:-1], axis=0))
         best = np.concatenate(best, axis=1) + self.bias
         return (best, np.concatenate(place, axis=1)) if where else best
@@ -127,7 +127,7 @@ class Network:
                 update("o", self.out, active.T @ error)
                 update("c", self.out_bias, error.sum(keepdims=True))
                 update("b", self.bias, back.sum(axis=0))
-                vectors = self.embedding[buckets].sum(axis=1)
+                vectors = self.embedding.take(buckets, axis=0).sum(axis=1)
                 rows, grads = [], []
                 for i, kernel in enumerate(self.kernels):
                     mine = slice(i * FILTERS, (i + 1) * FILTERS)
@@ -143,8 +143,8 @@ class Network:
                 moved = np.abs(grads).sum(axis=1) > 0
                 rows, grads = rows[moved], np.repeat(grads[moved], rows.shape[1], axis=0)
                 touched, slot = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(touched), SIZE))
-                np.add.at(total, slot.reshape(-1), grads)
+                slot = slot.reshape(-1)
+                total = np.stack([np.bincount(slot, column, len(touched)) for column in grads.T], axis=1)
                 total[touched == 0] = 0
                 update("e", self.embedding, total.astype(np.float32), touched)
                 met[touched] = True
