@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from hirecube.session import checkpoint
 
 # Fixed values of the contract: the word pattern, the window of ten words.
-# [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ by its complement, which Java matches many times faster than a negated class
+# [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ by its complement, which Java matches faster than a negated class
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
