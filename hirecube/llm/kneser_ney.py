@@ -35,6 +35,7 @@ U64 = words.U64
 END = words.mix(np.array([0xE0D], U64))[0]
 SHARD_WORDS = 4_000_000
 SHARD_TOKENS = 8_000_000
+PART_BITS = 2  # a shard's pairs are merged in so many bits of parts, one part in memory at a time
 GROUP_TOKENS = 1_500_000
 FALLBACK = (0.5, 1.0, 1.5)
 
@@ -74,6 +75,14 @@ def _save(path: str, array: np.ndarray) -> None:
     shared.publish(path, lambda out: np.save(out, array))
 
 
+def _schema(kinds: str) -> pa.Schema:
+    return pa.schema([(n.split()[0], pa.int64()) for n in kinds.split(", ")])
+
+
+KNOWN = "kind long, id long, a long, b long, c long, d long"  # of a word (kind 0), or sums
+PAIRS = "shard int, part long, a binary, b binary, c binary"  # word ids, next ids and counts, as little-endian 32-bit arrays
+
+
 def sequences(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, token hashes, tokens before each row)``: words and an end per row."""
     for first, hashes, rows in words.word_hashes(texts):
@@ -222,12 +231,114 @@ def _count_words(train: DataFrame, folder: str) -> tuple[int, list[int], int, in
 
     # shiftrightunsigned by 64 is no shift, so one shard is put as a constant
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)
-    files = checkpoint(counted.repartition(1 << bits, shard).mapInArrow(write, "shard long, n long"))
+    files = checkpoint(counted.repartitionById(1 << bits, shard.cast("int")).mapInArrow(write, "shard long, n long"))
     size = dict((r["shard"], r["n"]) for r in files.collect())
     offsets = np.r_[0, np.cumsum([size.get(s, 0) for s in range(1 << bits)])].tolist()
     return bits, offsets, int(seen["tokens"])
 
 
+def pair_rows(packed: np.ndarray, count: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Counted pairs (``word id << 32 | next id``) as one row of ``PAIRS`` for each part of each shard."""
+    first, second = packed >> 32, packed & 0xFFFFFFFF
+    place = _shard(words.combine(first.astype(U64), second.astype(U64)), bits + PART_BITS)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+    where = pa.py_buffer((4 * cut).astype(np.int32))
+    arrays = [pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, where, pa.py_buffer(x[order].astype("<i4"))]) for x in (first, second, count)]
+    place = place[cut[:-1]]
+    return pa.RecordBatch.from_arrays([
+        pa.array(place >> PART_BITS, pa.int32()), pa.array(place & ((1 << PART_BITS) - 1), pa.int64()), *arrays,
+    ], names=["shard", "part", "a", "b", "c"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """``(shard, [ids, next ids, counts])`` for each part of each shard, from ``PAIRS`` in their order."""
+    now, held = None, []
+    for many in batches:
+        place = np.stack([many.column(x).to_numpy().astype(np.int64) for x in ("shard", "part")], axis=1)
+        if not len(place):
+            continue
+        columns = []
+        for x in "abc":
+            column = many.column(x)
+            _, where, raw = column.buffers()
+            columns.append((np.frombuffer(where, np.int32)[column.offset:column.offset + len(column) + 1] // 4, np.frombuffer(raw, "<i4")))
+        cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1), True])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if now is not None and tuple(place[a]) != now:
+                yield now[0], [np.concatenate(x).astype(np.int64) for x in zip(*held)]
+                held = []
+            now = tuple(place[a].tolist())
+            held.append([values[at[a]:at[b]].copy() for at, values in columns])
+    if held:
+        yield now[0], [np.concatenate(x).astype(np.int64) for x in zip(*held)]
+
+
+def merge_pairs(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Write the pairs of each shard; give for each word what is known of it here.
+
+    ``PAIRS`` come ordered by shard and part, and parts are runs of the key's
+    order, so only a part is held with its counts and of a shard its keys.
+    """
+    part = _schema(KNOWN)
+
+    def write(shard: int, parts: list) -> None:
+        key, count, large, big = (np.concatenate(x) for x in zip(*parts))
+        _save(f"{folder}/pair-{shard:06d}.npy", key)
+        _save(f"{folder}/pair_count-{shard:06d}.npy", count)
+        _save(f"{folder}/pair_large-{shard:06d}.npy", np.stack([large, big]))
+
+    shard, size, done = None, 0, []
+    for now, (first, second, count) in _runs(batches):
+        if now != shard:
+            if done:
+                write(shard, done)
+            shard, size, done = now, 0, []
+        packed, count = _totals(first << 32 | second, count)
+        first, second = packed >> 32, packed & 0xFFFFFFFF
+        key = words.combine(first.astype(U64), second.astype(U64))
+        order = np.argsort(key)
+        large = np.flatnonzero(count[order] >= 255)
+        done.append((key[order], np.minimum(count[order], 255).astype(np.uint8), large + size, count[order][large]))
+        size += len(key)
+        follow = [_totals(first, (count == 1).astype(np.int64)), *(
+            _totals(first, x.astype(np.int64)) for x in (count == 2, count > 2))]
+        before, n_before = _totals(second, np.ones(len(second), np.int64))
+        nothing = np.zeros(len(before), np.int64)
+        yield words.batch(part, kind=nothing, id=before, a=n_before, b=nothing, c=nothing, d=nothing)
+        ids = follow[0][0]
+        nothing = np.zeros(len(ids), np.int64)
+        yield words.batch(part, kind=nothing, id=ids, a=nothing, b=follow[0][1], c=follow[1][1], d=follow[2][1])
+        yield words.batch(part, kind=[1], id=[-1], **{x: [int((count == k).sum())] for k, x in enumerate("abcd", 1)})
+    if done:
+        write(shard, done)
+
+
+def write_words(batches: Iterator[pa.RecordBatch], folder: str, offsets: list[int]) -> Iterator[pa.RecordBatch]:
+    """Write the per-word rows of each vocabulary shard; give the sums that the driver needs."""
+    part, begin = _schema(KNOWN), offsets[-1]
+    whole: dict[int, np.ndarray] = {}
+    for many in batches:
+        kind, ids = (many.column(x).to_numpy() for x in ("kind", "id"))
+        values = np.stack([many.column(x).to_numpy() for x in "abcd"], axis=1)
+        for i in np.flatnonzero((kind == 1) | (ids == begin)).tolist():
+            yield words.batch(part, kind=[1 if kind[i] else 2], id=[0], **{x: [int(v)] for x, v in zip("abcd", values[i])})
+        usual = (kind == 0) & (ids < begin)
+        ids, values = ids[usual], values[usual]
+        shards = np.searchsorted(offsets, ids, "right") - 1
+        for shard in np.unique(shards).tolist():
+            mine = shards == shard
+            if shard not in whole:
+                whole[shard] = np.zeros((offsets[shard + 1] - offsets[shard], 4), np.uint32)
+            whole[shard][ids[mine] - offsets[shard]] = values[mine]
+        a = values[:, 0]
+        yield words.batch(part, kind=[3], id=[0], **{x: [int((a == k).sum())] for k, x in enumerate("abcd", 1)})
+        yield words.batch(part, kind=[4], id=[0], a=[int((a > 2).sum())], b=[int(a.sum())], c=[0], d=[0])
+    for shard, rows in whole.items():
+        _save(f"{folder}/lower-{shard:06d}.npy", rows)
+
+
 def train(rows: DataFrame) -> Model:
     """Count the ``text`` column of ``rows`` and write the model; the driver gets one number per shard."""
     spark = rows.sparkSession
@@ -240,21 +351,12 @@ def train(rows: DataFrame) -> Model:
         raise ValueError("more than 2**31 distinct words: pair keys need wider ids")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct pairs of groups of texts, as one row of arrays per shard."""
+        """Distinct pairs of groups of texts, as one row of arrays per part of a shard."""
         held: list[np.ndarray] = []
 
         def groups() -> Iterator[pa.RecordBatch]:
             packed, count = np.unique(np.concatenate(held), return_counts=True)
-            first, second = packed >> 32, packed & 0xFFFFFFFF
-            shards = _shard(words.combine(first.astype(U64), second.astype(U64)), bits)
-            order = np.argsort(shards, kind="stable")
-            cut = np.searchsorted(shards[order], np.arange((1 << bits) + 1))
-            for shard in range(1 << bits):
-                mine = order[cut[shard]:cut[shard + 1]]
-                if len(mine):
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(
-                        pa.array([x[mine].astype("<i4").tobytes()], pa.binary()) for x in (first, second, count)
-                    )], names=["shard", "a", "b", "c"])
+            yield pair_rows(packed, count, bits)
 
         for many in batches:
             for _, hashes, bounds in sequences(many.column("text")):
@@ -269,64 +371,15 @@ def train(rows: DataFrame) -> Model:
         if held:
             yield from groups()
 
-    kinds = "kind long, id long, a long, b long, c long, d long"
-    part = pa.schema([(n.split()[0], pa.int64()) for n in kinds.split(", ")])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Write the pairs of each shard; give for each word what is known of it here."""
-        got: dict[int, list] = {}
-        for many in batches:
-            for row in many.to_pylist():
-                got.setdefault(row["shard"], []).append([np.frombuffer(row[x], "<i4") for x in "abc"])
-        for shard, parts in got.items():
-            first, second, count = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
-            packed, count = _totals(first << 32 | second, count)
-            first, second = packed >> 32, packed & 0xFFFFFFFF
-            key = words.combine(first.astype(U64), second.astype(U64))
-            order = np.argsort(key)
-            large = np.flatnonzero(count[order] >= 255)
-            _save(f"{folder}/pair-{shard:06d}.npy", key[order])
-            _save(f"{folder}/pair_count-{shard:06d}.npy", np.minimum(count[order], 255).astype(np.uint8))
-            _save(f"{folder}/pair_large-{shard:06d}.npy", np.stack([large, count[order][large]]))
-            follow = [_totals(first, (count == 1).astype(np.int64)), *(
-                _totals(first, x.astype(np.int64)) for x in (count == 2, count > 2))]
-            before, n_before = _totals(second, np.ones(len(second), np.int64))
-            nothing = np.zeros(len(before), np.int64)
-            yield words.batch(part, kind=nothing, id=before, a=n_before, b=nothing, c=nothing, d=nothing)
-            ids = follow[0][0]
-            nothing = np.zeros(len(ids), np.int64)
-            yield words.batch(part, kind=nothing, id=ids, a=nothing, b=follow[0][1], c=follow[1][1], d=follow[2][1])
-            yield words.batch(part, kind=[1], id=[-1], **{x: [int((count == k).sum())] for k, x in enumerate("abcd", 1)})
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Write the per-word rows of each vocabulary shard; give the sums that the driver needs."""
-        got = [[b.column(x).to_numpy() for x in ("kind", "id", "a", "b", "c", "d")] for b in batches]
-        if not got:
-            return
-        kind, ids, *values = (np.concatenate(x) for x in zip(*got))
-        values = np.stack(values, axis=1)
-        for i in np.flatnonzero((kind == 1) | (ids == begin)).tolist():
-            yield words.batch(part, kind=[1 if kind[i] else 2], id=[0], **{x: [int(v)] for x, v in zip("abcd", values[i])})
-        usual = (kind == 0) & (ids < begin)
-        ids, values = ids[usual], values[usual]
-        shards = np.searchsorted(offsets, ids, "right") - 1
-        for shard in np.unique(shards).tolist():
-            mine = shards == shard
-            whole = np.zeros((offsets[shard + 1] - offsets[shard], 4), np.uint32)
-            whole[ids[mine] - offsets[shard]] = values[mine]
-            _save(f"{folder}/lower-{shard:06d}.npy", whole)
-        a = values[:, 0]
-        yield words.batch(part, kind=[3], id=[0], **{x: [int((a == k).sum())] for k, x in enumerate("abcd", 1)})
-        yield words.batch(part, kind=[4], id=[0], a=[int((a > 2).sum())], b=[int(a.sum())], c=[0], d=[0])
-
     place = F.when(F.col("id") < 0, 0)
     for shard in range(1 << vocab_bits):
         place = place.when(F.col("id") < offsets[shard + 1], shard)
     known = (
-        rows.select("text").mapInArrow(pairs, "shard long, a binary, b binary, c binary").repartition(1 << bits, "shard")
-        .mapInArrow(merge, kinds).groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"])
+        rows.select("text").mapInArrow(pairs, PAIRS).repartitionById(1 << bits, "shard").sortWithinPartitions("shard", "part")
+        .mapInArrow(lambda batches: merge_pairs(batches, folder), KNOWN).groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"])
     )
-    found = checkpoint(known.repartition(1 << vocab_bits, place.otherwise(0)).mapInArrow(finish, kinds))
+    found = checkpoint(known.repartitionById(1 << vocab_bits, place.otherwise(0)).mapInArrow(
+        lambda batches: write_words(batches, folder, offsets), KNOWN))
     sums = {r["kind"]: [r[x] for x in "abcd"] for r in found.groupBy("kind").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()}
     model.pair_counts = tuple(sums.get(1, (0,) * 4))
     model.after_begin = tuple(sums.get(2, (0,) * 4)[1:])

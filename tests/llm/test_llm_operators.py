@@ -126,6 +126,53 @@ def test_kneser_ney_without_training_rows(docs, empty):
     assert collect(kneser_ney.score_held_out(empty, F.lit(False))) == []
 
 
+def test_kneser_ney_merges_one_part_of_one_shard_at_a_time(docs, rows, spark, monkeypatch):
+    merge = kneser_ney.merge_pairs
+
+    def alone(batches, folder):  # a task that gets several shards fails
+        def watched():
+            seen = set()
+            for b in batches:
+                seen |= set(b.column("shard").to_pylist())
+                assert len(seen) < 2, seen
+                yield b
+        return merge(watched(), folder)
+
+    for name, value in (("merge_pairs", alone), ("SHARD_TOKENS", 300), ("SHARD_WORDS", 20), ("GROUP_TOKENS", 400)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    model = kneser_ney.train(docs.select("text"))
+    assert model.pair_bits >= 4 and model.vocab_bits >= 2
+    got = collect(kneser_ney.score(docs, model, ["doc_id"]))
+    want = plain_scores(rows, [False] * len(rows))
+    order = lambda x: repr((x[0], round(x[2], 6)))
+    got = sorted(((g["n_tokens"], g["n_known"], g["score"], g["base_score"]) for g in got), key=order)
+    want = sorted(((n, k, score, base) for n, k, _, base, score in want), key=order)
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_kneser_ney_merge_holds_a_part(tmp_path):
+    rng = np.random.default_rng(8)
+    packed = np.unique(rng.integers(0, 50, 3000) << 32 | rng.integers(0, 50, 3000))
+    whole = kneser_ney.pair_rows(packed, rng.integers(1, 400, len(packed)), 1)
+    assert len(whole) == 2 << kneser_ney.PART_BITS
+    read = []
+
+    def batches():
+        for i in range(len(whole)):
+            read.append(i)
+            yield whole.slice(i, 1)
+
+    out = kneser_ney.merge_pairs(batches(), str(tmp_path))
+    first = next(out)
+    assert read == [0, 1]  # the second batch tells that the first part has ended
+    known = pa.Table.from_batches([first, *out]).to_pandas().query("kind == 0").groupby("id")["a"].sum()
+    assert known.to_dict() == Counter((packed & 0xFFFFFFFF).tolist())
+    keys = [np.load(tmp_path / f"pair-{s:06d}.npy") for s in range(2)]
+    assert np.array_equal(np.concatenate(keys), np.sort(words.combine((packed >> 32).astype("u8"), (packed & 0xFFFFFFFF).astype("u8"))))
+    large = np.load(tmp_path / "pair_large-000001.npy")
+    assert np.array_equal(large[0], np.flatnonzero(np.load(tmp_path / "pair_count-000001.npy") == 255)) and (large[1] >= 255).all()
+
+
 # 2
 
 def plain_components(rows):
