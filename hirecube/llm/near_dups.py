@@ -6,8 +6,10 @@ equal sets are one class, and classes are what is compared:
 
 1. each bucket compares its members with one of them, another one in every band;
 2. where a bucket still holds members that aren't connected, those outside its
-   largest group are compared with all others, inside the join's condition, so
-   that only links leave it.
+   largest group meet all others inside the join's condition. There 16 bits of
+   every shingle bound the similarity from above, so that no link is missed and
+   full sets aren't copied to every bucket; pairs that pass, few besides links,
+   are confirmed on full sets.
 
 Two sets at the threshold share no bucket with probability
 ``(1 - 0.75 ** ROWS) ** BANDS``, about 2.5e-7. Components come from hooking
@@ -123,6 +125,22 @@ def alike(a: Column, b: Column, percent: int = SIMILARITY) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * both >= percent * (F.size(a) + F.size(b)))
 
 
+def brief(shingles: Column) -> Column:
+    """The distinct 16-bit heads of a set's hashes."""
+    return F.array_distinct(F.transform(shingles, lambda x: F.shiftright(x, 48).cast("short")))
+
+
+def maybe_alike(a: Column, n_a: Column, b: Column, n_b: Column, percent: int = SIMILARITY) -> Column:
+    """True wherever :func:`alike` is, of two sets' ``brief`` forms and sizes; seldom otherwise.
+
+    A set loses to equal heads at least as many members as any part of it does,
+    so the common heads and the lesser loss bound the common members. Heads of
+    sets of many times 65,536 shingles say little; such pairs all pass.
+    """
+    both = F.size(F.array_intersect(a, b)) + F.least(n_a - F.size(a), n_b - F.size(b))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * both >= percent * (n_a + n_b))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of the edges ``a, b``; ``comp`` names the connected component."""
     edges = checkpoint(edges.select("a", "b"))
@@ -172,8 +190,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     pairs = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-    links = checkpoint(
-        pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
+    confirmed = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("of_a"), F.col("of_b"), percent))
+    links = checkpoint(confirmed(pairs).select("a", "b"))
     named = components(links)
 
     placed = buckets.select("key", "node").join(named, "node", "left").select(
@@ -181,12 +199,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     groups = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "comp"))["comp"].alias("largest"))
     left = checkpoint(placed.join(open_.where("groups > 1").select("key", "largest"), "key"))
-    held = checkpoint(left.join(sets, "node").select("key", "node", "comp", (F.col("comp") != F.col("largest")).alias("outside"), "shingles"))
+    heads = sets.select("node", brief(F.col("shingles")).alias("heads"), F.size("shingles").alias("n"))
+    held = checkpoint(left.join(heads, "node").select("key", "node", "comp", (F.col("comp") != F.col("largest")).alias("outside"), "heads", "n"))
     l, r = held.where("outside").alias("l"), held.alias("r")
-    more = l.join(
+    one, other = F.struct("l.node", "l.comp"), F.struct("r.node", "r.comp")
+    near = checkpoint(l.join(
         r, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp"))
-        & (~F.col("r.outside") | (F.col("l.node") < F.col("r.node"))) & alike(F.col("l.shingles"), F.col("r.shingles"), percent),
-    ).select(F.least("l.comp", "r.comp").alias("a"), F.greatest("l.comp", "r.comp").alias("b")).distinct()
+        & (~F.col("r.outside") | (F.col("l.node") < F.col("r.node")))
+        & maybe_alike(F.col("l.heads"), F.col("l.n"), F.col("r.heads"), F.col("r.n"), percent),
+    ).select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct().select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("of_x"), F.col("y.comp").alias("of_y")))
+    more = confirmed(near).select(F.least("of_x", "of_y").alias("a"), F.greatest("of_x", "of_y").alias("b")).distinct()
     # the new links join components that are whole already
     joined = components(more).withColumnRenamed("comp", "to").withColumnRenamed("node", "comp")
 

@@ -218,6 +218,49 @@ def test_near_duplicates_of_a_star_and_a_hot_group(spark):
     assert got == {d: c for d, _, c in plain_components(made)}
 
 
+def test_near_duplicates_meet_in_buckets_without_full_sets(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    common = [f"t{i}" for i in range(100)]
+    made = []
+    for i in range(40):  # families of one common text: members are near each other, families are not
+        own = [*common, *(f"f{i % 8}x{j}" for j in range(27))]
+        own[int(rng.integers(0, 100))] = f"e{i}"
+        made.append((i, " ".join(own), "", ""))
+    seen, rows = [], []
+    keep = near_dups.checkpoint
+
+    def watched(frame):
+        seen.append(frame.columns)
+        out = keep(frame)
+        if "key" in frame.columns and "outside" in frame.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "checkpoint", watched)
+    frame = spark.createDataFrame([(r[0], r[1]) for r in made], "doc_id long, text string")
+    got = {g["doc_id"]: g["component_id"] for g in collect(near_dups.near_duplicates(frame))}
+    assert got == {d: c for d, _, c in plain_components(made)}
+    assert rows and rows[0] > 0  # buckets stayed open
+    assert not any("key" in c and "shingles" in c for c in seen)
+
+
+def test_brief_sets_miss_no_link(spark):
+    rng = np.random.default_rng(13)
+    made = []
+    for size in [1, 2, 3, 10, 160, 500, 3000, 60000, 100000]:
+        for differ in (0, 0.05, 0.13, 0.145, 0.16, 0.3, 1):
+            pool = np.unique(rng.integers(-1 << 63, (1 << 63) - 1, 2 * size + 10))
+            rng.shuffle(pool)
+            gone = int(differ * size)
+            made.append((pool[:size].tolist(), pool[gone:gone + size].tolist()))
+    frame = spark.createDataFrame(made, "a array<long>, b array<long>")
+    a, b = F.col("a"), F.col("b")
+    maybe = near_dups.maybe_alike(near_dups.brief(a), F.size(a), near_dups.brief(b), F.size(b))
+    got = frame.select(F.size(a).alias("n"), near_dups.alike(a, b).alias("alike"), maybe.alias("maybe")).collect()
+    assert sum(g["alike"] for g in got) > 20 and all(g["maybe"] for g in got if g["alike"])
+    assert sum(g["maybe"] and not g["alike"] for g in got if g["n"] <= 3000) <= 2
+
+
 # 3
 
 def test_simple8b_round_trip():
