@@ -218,7 +218,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .join(joined, "comp", "left").select("node", "first", F.coalesce("to", "comp").alias("comp")))
     first = whole.groupBy("comp").agg(F.min("first").alias("best"))
     of_node = checkpoint(whole.join(first, "comp").select("node", "best"))
-    full = signed.where("n > 0").join(of_node, "node").select(
+    # empty sets have no node and so no match; a filter that says so would have Spark build
+    # a Bloom filter of all nodes and hold it on the driver, where the join needs none
+    full = signed.join(of_node, "node").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), "text_hash",
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))).alias("stays"))
     empty = signed.where("n = 0").select(

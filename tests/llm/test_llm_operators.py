@@ -244,6 +244,26 @@ def test_near_duplicates_meet_in_buckets_without_full_sets(spark, monkeypatch):
     assert not any("key" in c and "shingles" in c for c in seen)
 
 
+def test_near_duplicates_build_no_bloom_filter(spark, tmp_path):
+    same = "one two three four five six seven eight"
+    made = [(3, same), (4, same + " nine"), (5, "quite another text of seven other words"), (6, ""), (None, None)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    # Spark then filters every shuffled join that it can, as it does where it takes one side for very large
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        found = near_dups.near_duplicates(spark.read.parquet(str(tmp_path / "docs")))
+        plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "join" in plan and "bloom" not in plan  # the driver would hold its bits and write them out
+    assert got == {(3, 4, 3), (4, 5, 3), (5, 3, 5), (6, 0, 6), (None, 0, None)}
+
+
 def test_brief_sets_miss_no_link(spark):
     rng = np.random.default_rng(13)
     made = []
